@@ -1,0 +1,82 @@
+"""Model queries.  Iterative fits have no SQL twin; tests compare them with an independent solver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from wardsift.operators.models import ModelConfig, coefficient_table, score_fits, fit_table
+from wardsift.operators.profile import with_text_metrics
+from wardsift.operators.validation import cross_fit, group_training_set, holdout_training_set
+from wardsift.plans.train import (
+    PROBE_FEATURES,
+    grid_search,
+    group_cross_validation,
+    parameter_grid,
+    shortcut_probe,
+    single_run,
+    validate_top,
+)
+
+from .registry import query
+from .splits import SPEC, training_rows
+from .views import docs, truth
+
+SMALL_GRID = parameter_grid(c=(0.1, 1.0), l1_ratio=(0.0,), class_weight=(None, "balanced"))
+SEARCH_SPLITS = 3
+FOLDS = 3
+
+
+@query("logreg_single_run")
+def logreg_single_run(spark: SparkSession, sf: str) -> DataFrame:
+    run = single_run(training_rows(spark, sf))
+    return run.metrics_at_best.drop("C", "l1_ratio", "class_weight")
+
+
+@query("logreg_single_run_report")
+def logreg_single_run_report(spark: SparkSession, sf: str) -> DataFrame:
+    return single_run(training_rows(spark, sf)).report
+
+
+@query("logreg_group_cv")
+def logreg_group_cv(spark: SparkSession, sf: str) -> DataFrame:
+    return group_cross_validation(training_rows(spark, sf), "group_kfold", FOLDS).best_t_results
+
+
+@query("logreg_group_cv_summary")
+def logreg_group_cv_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return group_cross_validation(training_rows(spark, sf), "group_shuffle", FOLDS).summary
+
+
+@query("logreg_grid")
+def logreg_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return grid_search(training_rows(spark, sf), SMALL_GRID, SEARCH_SPLITS).summary
+
+
+@query("logreg_topk_validation")
+def logreg_topk_validation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = training_rows(spark, sf)
+    top = grid_search(rows, SMALL_GRID, SEARCH_SPLITS, top_k=2).top
+    return validate_top(rows, top, FOLDS).best_t_results
+
+
+@query("logreg_scores")
+def logreg_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every labelled report scored by one L1 model fitted on the train side of a holdout split."""
+    rows = training_rows(spark, sf)
+    data = holdout_training_set(rows, SPEC)
+    fits = cross_fit(data, [ModelConfig(C=1.0, l1_ratio=1.0)])
+    scored = score_fits(rows.withColumn("split_id", F.lit(1)), fit_table(spark, fits), SPEC)
+    return scored.select("case_id", "label", F.round("score", 4).alias("score"))
+
+
+@query("logreg_coefficients")
+def logreg_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    data = group_training_set(training_rows(spark, sf), SPEC, "group_kfold", FOLDS)
+    return coefficient_table(spark, cross_fit(data, [ModelConfig()]))
+
+
+@query("shortcut_probe")
+def shortcut_probe_query(spark: SparkSession, sf: str) -> DataFrame:
+    measured = with_text_metrics(docs(spark, sf)).select("case_id", *PROBE_FEATURES)
+    label = (F.col("expected_action") == "escalation").cast("int")
+    return shortcut_probe(measured.join(truth(spark, sf), "case_id").withColumn("label", label))

@@ -1,3 +1,4 @@
 """Imports every query module so that it registers its queries."""
 
-from . import annotation, decisions, evaluation, models, splits, tables, texts  # noqa: F401
+from . import texts  # noqa: F401  isort: skip
+from . import annotation, decisions, evaluation, models, splits, tables  # noqa: F401

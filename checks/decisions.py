@@ -19,6 +19,7 @@ from wardsift.operators.decisions import (
 )
 from wardsift.operators.evaluation import confusion, with_binary_metrics
 from wardsift.operators.frames import compare_runs, merge_runs
+from wardsift.session import cut_lineage
 
 from .registry import query
 from .views import (
@@ -115,7 +116,8 @@ KEYS = ["case_id", "domain", "clarity"]
 
 
 def _runs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    base = labelled_signals(spark, sf)
+    """Runs are stored tables: the signals behind them are written once."""
+    base = cut_lineage(labelled_signals(spark, sf))
     return {
         v: decide(base, v).select(*KEYS, "expected_action", "severity", F.col("expected_action_final").alias("pred"))
         for v in RUN_VERSIONS

@@ -18,6 +18,7 @@ from wardsift.operators.decisions import decide
 from wardsift.operators.evaluation import classification_report, confusion, with_binary_metrics
 from wardsift.operators.frames import sort_top_k
 from wardsift.operators.summaries import CV_COLUMNS, TOP_ORDER, cv_summary, defined_splits, grid_summary
+from wardsift.session import cut_lineage
 
 from .registry import query
 from .views import SQL_SIGNALS, labelled_signals, scored, sql_decision
@@ -177,7 +178,7 @@ CUTS = (0.2, 0.4, 0.6)
 
 def _per_source(spark: SparkSession, sf: str) -> DataFrame:
     """Result rows as cross-validation makes them: sources play the splits, fixed cuts the configurations."""
-    rows = scored(spark, sf)
+    rows = cut_lineage(scored(spark, sf))
     by = ["source"]
     areas = curve_areas(curve_points(score_counts(rows, by), by), by).select("source", "roc_auc", "pr_auc")
     best = best_threshold(threshold_sweep(rows, by), by).select("source", F.col("threshold").alias("best_t"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardsift.operators.models import ModelConfig, coefficient_table, score_fits, fit_table
@@ -9,6 +10,7 @@ from wardsift.operators.profile import with_text_metrics
 from wardsift.operators.validation import cross_fit, group_training_set, holdout_training_set
 from wardsift.plans.train import (
     PROBE_FEATURES,
+    final_model,
     grid_search,
     group_cross_validation,
     parameter_grid,
@@ -16,14 +18,14 @@ from wardsift.plans.train import (
     single_run,
     validate_top,
 )
+from wardsift.session import cut_lineage
 
 from .registry import query
 from .splits import SPEC, training_rows
 from .views import docs, truth
 
-SMALL_GRID = parameter_grid(c=(0.1, 1.0), l1_ratio=(0.0,), class_weight=(None, "balanced"))
-SEARCH_SPLITS = 3
-FOLDS = 3
+SEARCH_SPLITS = 5
+FOLDS = 5
 
 
 @query("logreg_single_run")
@@ -49,13 +51,13 @@ def logreg_group_cv_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("logreg_grid")
 def logreg_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return grid_search(training_rows(spark, sf), SMALL_GRID, SEARCH_SPLITS).summary
+    return grid_search(training_rows(spark, sf), parameter_grid(), SEARCH_SPLITS).summary
 
 
 @query("logreg_topk_validation")
 def logreg_topk_validation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = training_rows(spark, sf)
-    top = grid_search(rows, SMALL_GRID, SEARCH_SPLITS, top_k=2).top
+    rows = cut_lineage(training_rows(spark, sf))
+    top = grid_search(rows, parameter_grid(), SEARCH_SPLITS).top
     return validate_top(rows, top, FOLDS).best_t_results
 
 
@@ -69,6 +71,14 @@ def logreg_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("case_id", "label", F.round("score", 4).alias("score"))
 
 
+@query("logreg_final_model")
+def logreg_final_model(spark: SparkSession, sf: str) -> DataFrame:
+    """MLlib pipeline on all labelled reports, applied to them."""
+    rows = cut_lineage(training_rows(spark, sf))
+    scored = final_model(rows).pipeline().transform(rows)
+    return scored.select("case_id", "label", F.round(vector_to_array("probability")[1], 4).alias("score"))
+
+
 @query("logreg_coefficients")
 def logreg_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     data = group_training_set(training_rows(spark, sf), SPEC, "group_kfold", FOLDS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardsift.operators.features import FeatureSpec, class_weights, compress_patterns, fit_preprocessor
 from wardsift.operators.splits import (
@@ -16,18 +16,27 @@ from wardsift.operators.splits import (
     stratified_split,
     with_signature,
 )
+from wardsift.session import cut_lineage
 
 from .evaluation import rounded
 from .registry import query
-from .views import SQL_SIGNALS, labelled_signals
+from .views import SQL_SIGNALS, docs, labelled_signals, truth
 
 SPEC = FeatureSpec()
 
 
+def _label() -> Column:
+    return (F.col("expected_action") == "escalation").cast("int").alias("label")
+
+
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Signals with label, ready for training."""
-    label = (F.col("expected_action") == "escalation").cast("int")
-    return labelled_signals(spark, sf).select("case_id", *SPEC.columns, label.alias("label"))
+    return labelled_signals(spark, sf).select("case_id", *SPEC.columns, _label())
+
+
+def labels_only(spark: SparkSession, sf: str) -> DataFrame:
+    """Key and label; texts are not read."""
+    return docs(spark, sf).select("case_id").join(truth(spark, sf), "case_id").select("case_id", _label())
 
 
 SQL_ROWS = """train_rows AS (SELECT case_id, confidence, n_risk_factors, n_missing_information, severity, uncertainty_level, clarity,
@@ -42,6 +51,11 @@ def signature_groups(spark: SparkSession, sf: str) -> DataFrame:
     return group_sizes(with_signature(training_rows(spark, sf), SPEC.columns))
 
 
+def _group_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The groups, written once for operators that look at them more than once."""
+    return cut_lineage(signature_groups(spark, sf))
+
+
 @query(
     "signature_statistics",
     f"""WITH {SQL_SIGNALS}, {SQL_ROWS}
@@ -60,7 +74,7 @@ def signature_statistics(spark: SparkSession, sf: str) -> DataFrame:
 SELECT case_id, label, CASE WHEN rn <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS role FROM ranked""",
 )
 def split_stratified(spark: SparkSession, sf: str) -> DataFrame:
-    return stratified_split(training_rows(spark, sf).select("case_id", "label"), "case_id")
+    return stratified_split(labels_only(spark, sf), "case_id")
 
 
 @query(
@@ -70,7 +84,7 @@ SELECT case_id, label, CASE WHEN substr(md5('holdout|42|0|' || case_id), 1, 8) <
 FROM train_rows""",
 )
 def split_hash_draw(spark: SparkSession, sf: str) -> DataFrame:
-    return stratified_split(training_rows(spark, sf).select("case_id", "label"), "case_id", exact=False)
+    return stratified_split(labels_only(spark, sf), "case_id", exact=False)
 
 
 @query(
@@ -81,7 +95,7 @@ SELECT case_id, label, CAST(1 + (rn > ceil(CAST(0.2 AS DOUBLE) * n))::INT + (rn
   + (rn > ceil(CAST(0.6 AS DOUBLE) * n))::INT + (rn > ceil(CAST(0.8 AS DOUBLE) * n))::INT AS INTEGER) AS fold FROM ranked""",
 )
 def split_stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
-    return stratified_folds(training_rows(spark, sf).select("case_id", "label"), "case_id")
+    return stratified_folds(labels_only(spark, sf), "case_id")
 
 
 SQL_SHUFFLE = """ranked AS (SELECT split_id, group_key, row_number() OVER (PARTITION BY split_id
@@ -91,13 +105,11 @@ roles AS (SELECT CAST(split_id AS INTEGER) AS split_id, group_key,
   CASE WHEN rn <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS role FROM ranked)"""
 
 
-def _shuffle_roles(spark: SparkSession, sf: str) -> DataFrame:
-    return group_shuffle_splits(signature_groups(spark, sf), 5)
 
 
 @query("split_group_shuffle", f"WITH {SQL_SIGNALS}, {SQL_ROWS}, {SQL_SHUFFLE} SELECT split_id, group_key, role FROM roles")
 def split_group_shuffle(spark: SparkSession, sf: str) -> DataFrame:
-    return _shuffle_roles(spark, sf)
+    return group_shuffle_splits(_group_table(spark, sf), 5)
 
 
 @query(
@@ -107,8 +119,8 @@ counts AS (SELECT split_id, role, label, count(*) AS n FROM signed JOIN roles US
 SELECT split_id, role, label, n, round(n / sum(n) OVER (PARTITION BY split_id, role), 6) AS share FROM counts""",
 )
 def split_class_shares(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_signature(training_rows(spark, sf), SPEC.columns).select("case_id", "label", "group_key")
-    return rounded(class_shares(assign_roles(rows, _shuffle_roles(spark, sf))))
+    rows = cut_lineage(with_signature(training_rows(spark, sf), SPEC.columns).select("case_id", "label", "group_key"))
+    return rounded(class_shares(assign_roles(rows, group_shuffle_splits(group_sizes(rows), 5))))
 
 
 @query(
@@ -126,7 +138,7 @@ members AS (SELECT size, group_key, row_number() OVER (PARTITION BY size ORDER B
 SELECT group_key, size, CAST(fold AS INTEGER) AS fold FROM members JOIN places USING (size, r)""",
 )
 def split_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
-    return group_folds(signature_groups(spark, sf), 5)
+    return group_folds(_group_table(spark, sf), 5)
 
 
 @query(
@@ -155,7 +167,7 @@ SELECT case_id, {_sql_scaled("confidence")}, {_sql_scaled("n_risk_factors")}, {_
   {_sql_dummies("clarity", ("clear",))}, {_sql_dummies("domain", ("en", "es", "fr"))} FROM train_rows""",
 )
 def features_scaled_onehot(spark: SparkSession, sf: str) -> DataFrame:
-    rows = training_rows(spark, sf)
+    rows = cut_lineage(training_rows(spark, sf))
     prepared = fit_preprocessor(compress_patterns(rows, SPEC), SPEC)
     encoded = dict(zip(prepared.feature_names, prepared.encoded_columns(), strict=True))
     return rounded(rows.select("case_id", *[c.alias(n) for n, c in encoded.items()]))
@@ -167,4 +179,4 @@ def features_scaled_onehot(spark: SparkSession, sf: str) -> DataFrame:
 SELECT label, count(*) AS n_class, round((SELECT count(*) FROM train_rows) / (2 * count(*)), 6) AS class_weight FROM train_rows GROUP BY label""",
 )
 def class_weights_query(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(class_weights(training_rows(spark, sf)))
+    return rounded(class_weights(labels_only(spark, sf)))

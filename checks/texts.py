@@ -21,9 +21,10 @@ from wardsift.operators.vocabulary import (
     top_tokens,
     with_marker_counts,
 )
+from wardsift.session import cut_lineage
 
 from .registry import query
-from .views import SQL_DOCS, SQL_REPORTS, SQL_TRUTH, docs, reports, truth
+from .views import SQL_DOCS, SQL_TRUTH, docs, reports, truth
 
 SQL_METRICS = r"""counted AS (
   SELECT case_id, domain, clarity, source,
@@ -65,6 +66,12 @@ def _measured(spark: SparkSession, sf: str) -> DataFrame:
     return with_text_metrics(docs(spark, sf)).drop("report_text")
 
 
+def _lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Lengths only; written once, because flags and their threshold both need them."""
+    measured = with_text_metrics(docs(spark, sf), metrics=["n_chars", "n_words"])
+    return cut_lineage(measured.select("case_id", "domain", "n_chars", "n_words"))
+
+
 @query(
     "text_metrics",
     f"""WITH {SQL_DOCS}, {SQL_METRICS}
@@ -116,7 +123,7 @@ SELECT round(avg(CAST(n_chars = 0 AS INTEGER)), 6) AS rate_empty, round(avg(CAST
        round(avg(CAST(n_words >= q AS INTEGER)), 6) AS rate_huge FROM metrics, cut""",
 )
 def extreme_rates_query(spark: SparkSession, sf: str) -> DataFrame:
-    rates = extreme_rates(_measured(spark, sf))
+    rates = extreme_rates(with_text_metrics(docs(spark, sf), metrics=["n_chars", "n_words"]))
     return rates.select(*[F.round(c, 6).alias(c) for c in rates.columns])
 
 
@@ -126,7 +133,7 @@ def extreme_rates_query(spark: SparkSession, sf: str) -> DataFrame:
 SELECT case_id, n_words, n_chars = 0 AS is_empty, n_words <= 3 AS is_tiny, n_words >= q AS is_huge FROM metrics, cut""",
 )
 def extreme_flags_query(spark: SparkSession, sf: str) -> DataFrame:
-    flagged = extreme_flags(_measured(spark, sf))
+    flagged = extreme_flags(_lengths(spark, sf))
     return flagged.select("case_id", "n_words", "is_empty", "is_tiny", "is_huge")
 
 
@@ -140,7 +147,7 @@ UNION ALL
 SELECT * FROM (SELECT 'is_huge' AS flag, case_id, domain FROM metrics, cut WHERE n_words >= q ORDER BY case_id LIMIT 3)""",
 )
 def extreme_samples(spark: SparkSession, sf: str) -> DataFrame:
-    flagged = extreme_flags(_measured(spark, sf))
+    flagged = extreme_flags(_lengths(spark, sf))
     return sample_heads(flagged, {"is_empty": 10, "is_tiny": 10, "is_huge": 3}, ["domain"])
 
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wardsift.functions.rules import keywords_found
 from wardsift.functions.signals import confidence_derived
-from wardsift.functions.text import has_digit, word_count
+from wardsift.functions.text import has_digit, words
+from wardsift.operators.frames import compute_once
+from wardsift.session import spread_small_input
 
 LEXICON = {
     "abuse": ["trash", "idiot", "clown", "scum", "worthless"],
@@ -22,7 +23,8 @@ LEXICON_WORDS = sorted(w for ws in LEXICON.values() for w in ws)
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     clarity = F.when(F.substring("source", 4, 10).cast("int") % 2 == 0, F.lit("clear")).otherwise(F.lit("ambiguous"))
-    return spark.read.parquet(f"{sf}/documents.parquet").select(
+    table = spread_small_input(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    return table.select(
         F.col("doc_id").alias("case_id"),
         F.col("text").alias("report_text"),
         F.col("lang").alias("domain"),
@@ -44,15 +46,11 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("report_text")
-    base = docs(spark, sf).select(
-        "case_id",
-        "domain",
-        "clarity",
-        "source",
-        word_count(text).alias("n_words"),
-        keywords_found(text, LEXICON_WORDS).alias("risk_factors"),
-        has_digit(text).alias("_digit"),
-    )
+    base = compute_once(docs(spark, sf), {"_words": words(text), "_digit": has_digit(text)}).drop("report_text")
+    lexicon = F.array(*[F.lit(w) for w in LEXICON_WORDS])
+    base = compute_once(
+        base, {"n_words": F.size("_words"), "risk_factors": F.array_intersect(lexicon, "_words")}
+    ).drop("_words")
     missing = F.array_compact(
         F.array(
             F.when(~F.col("_digit"), F.lit("no_digits")),

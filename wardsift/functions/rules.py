@@ -45,7 +45,10 @@ def keywords_found(text: Column | str, keywords: Sequence[str], mode: str = "wor
     if not patterns:
         return present
     tests = [F.when(F.regexp_like(F.lower(text), F.lit(p)), F.lit(k)) for k, p in patterns.items()]
-    return F.concat(present, F.array_compact(F.array(*tests))) if single else F.array_compact(F.array(*tests))
+    # Most texts hold no keyword: one test for any of them saves the test of each.
+    any_of = f"(?<![{WORD_CHARS}])(?:{'|'.join(_quote(k) for k in patterns)}){end}"
+    matched = F.when(F.regexp_like(F.lower(text), F.lit(any_of)), F.array_compact(F.array(*tests))).otherwise(none)
+    return F.concat(present, matched) if single else matched
 
 
 def dictionary_hits(found: Column | str, dictionary: Dictionary) -> Column:

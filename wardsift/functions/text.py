@@ -1,7 +1,8 @@
 r"""Text expressions.
 
 The JVM's ``\w``, ``\b`` and ``\s`` know ASCII only, so all classes are spelled out with Unicode
-properties; a word is a run of letters, numbers and underscores of any script.
+properties; a word is a run of letters, numbers and underscores of any script.  ASCII ranges come
+first in a class and runs are possessive only to make matching cheaper.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 # Character classes of the text metrics.
-WORD_CHARS = r"\p{L}\p{N}_"
-WORD = rf"[{WORD_CHARS}]+"
+WORD_CHARS = r"a-zA-Z0-9_\p{L}\p{N}"
+WORD = rf"[{WORD_CHARS}]++"
 SENTENCE_END = r"[.!?]+"
 UPPER_CHARS = "A-ZÄÖÜ"
 SPACE_CHARS = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
@@ -80,7 +81,7 @@ def text_metrics(text: Column | str) -> dict[str, Column]:
         "n_chars": F.coalesce(F.length(t), F.lit(0)),
         "n_words": word_count(t),
         "n_sentences": _count_matches(t, SENTENCE_END),
-        "n_digits": _count_chars(t, r"^\p{Nd}"),
+        "n_digits": _count_matches(t, r"\p{Nd}"),
         "n_upper": _count_chars(t, f"^{UPPER_CHARS}"),
         "n_punct": _count_chars(t, WORD_CHARS + SPACE_CHARS),
     }

@@ -17,6 +17,7 @@ from ..functions.signals import (
     response_action,
     response_confidence,
 )
+from .frames import compute_once
 
 BATCH_SIZE = 5
 Annotator = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -131,7 +132,7 @@ def per_batch(fn: Callable[[list[str]], list[str]], batch_size: int = BATCH_SIZE
 
 def normalize_responses(df: DataFrame, raw_col: str = "raw_json") -> DataFrame:
     """Add the signal columns of an annotator record, and ``quarantine_reason`` for unusable ones."""
-    parsed = df.withColumn("_record", parse_response(raw_col))
+    parsed = compute_once(compute_once(df, {raw_col: F.col(raw_col)}), {"_record": parse_response(raw_col)})
     record = F.col("_record")
     signals = parsed.withColumns(
         {

@@ -57,7 +57,8 @@ def curve_points(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum("_bp").over(group).alias("n_pos"),
         (F.sum("_bn").over(group) - F.sum("_bp").over(group)).alias("n_neg"),
     )
-    same = F.col("_bin") == F.col("_b")
+    # Null-safe, so that both uses of the counts keep the same plan and share their shuffle.
+    same = F.col("_bin").eqNullSafe(F.col("_b"))
     for k in by:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = (
@@ -105,16 +106,16 @@ def curve_areas(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def thresholds_reached(score: Column, thresholds: Sequence[float]) -> Column:
-    """How many of the ascending thresholds the score reaches, as a binary search of ``when``s."""
+def thresholds_reached(score_col: str, thresholds: Sequence[float]) -> Column:
+    """How many of the ascending thresholds the score reaches, as a binary search in one expression."""
 
-    def search(lo: int, hi: int) -> Column:
+    def search(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(score >= F.lit(thresholds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+        return f"CASE WHEN `{score_col}` >= {thresholds[mid]!r}D THEN {search(mid + 1, hi)} ELSE {search(lo, mid)} END"
 
-    return search(0, len(thresholds))
+    return F.expr(search(0, len(thresholds)))
 
 
 def threshold_sweep(
@@ -131,24 +132,24 @@ def threshold_sweep(
     group then unfold into running sums over its thresholds.
     """
     by = list(by)
-    cuts = sorted(thresholds if thresholds is not None else default_thresholds())
+    cuts = sorted(float(t) for t in (thresholds if thresholds is not None else default_thresholds()))
     weight = F.col(weight_col) if weight_col else F.lit(1)
-    histogram = scored.groupBy(*by, thresholds_reached(F.col(score_col), cuts).alias("_k")).agg(
+    histogram = scored.groupBy(*by, thresholds_reached(score_col, cuts).alias("_k")).agg(
         F.sum(weight).cast("bigint").alias("_n"), F.sum(weight * F.col(label_col)).cast("bigint").alias("_p")
     )
     # Counter k covers scores that reach thresholds 0..k-1; one array per group of at most 102 counters.
     cells = F.map_from_entries(F.collect_list(F.struct("_k", F.struct("_n", "_p"))))
     packed = histogram.groupBy(*by).agg(cells.alias("_cells"), F.sum("_n").alias("n_test"), F.sum("_p").alias("n_pos"))
-    ladder = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(cuts)])
-    unfolded = packed.select(*by, "n_test", "n_pos", "_cells", F.explode(ladder).alias("_s"))
+    ladder = F.expr(f"array({', '.join(f'{t!r}D' for t in cuts)})")
+    unfolded = packed.select(*by, "n_test", "n_pos", "_cells", F.posexplode(ladder).alias("_i", "threshold"))
 
     def at_or_above(field: str) -> Column:
-        reached = F.filter(F.map_entries("_cells"), lambda e: e["key"] >= F.col("_s")["i"])
+        reached = F.filter(F.map_entries("_cells"), lambda e: e["key"] > F.col("_i"))
         return F.aggregate(reached, F.lit(0).cast("bigint"), lambda acc, e: acc + e["value"][field])
 
     rows = unfolded.select(
         *by,
-        F.col("_s")["t"].alias("threshold"),
+        "threshold",
         "n_test",
         "n_pos",
         at_or_above("_p").alias("tp"),

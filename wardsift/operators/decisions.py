@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.labels import error_type, label_text
 from ..functions.rules import Dictionary, RED_FLAGS, Signals, decision, dictionary_hits, keywords_found
+from .frames import compute_once
 
 PROFILE_COLUMNS = (
     "domain",
@@ -29,9 +30,8 @@ def match_rules(
     The dictionary is part of the expression; no join and no shuffle.
     """
     keywords = [k for ks in dictionary.values() for k in ks]
-    return df.withColumn("hits", dictionary_hits(keywords_found(text_col, keywords, mode), dictionary)).withColumn(
-        "expected_action_rule", F.size("hits") > 0
-    )
+    hits = dictionary_hits(keywords_found(text_col, keywords, mode), dictionary)
+    return compute_once(df, {"hits": hits}).withColumn("expected_action_rule", F.size("hits") > 0)
 
 
 def rule_hits(matched: DataFrame, *keep: str) -> DataFrame:

@@ -70,7 +70,9 @@ def ranked_values(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("_bin_n").over(group).alias("total"),
         (F.sum("_bin_sum").over(group) / F.sum("_bin_n").over(group)).alias("mean"),
     )
-    same = F.col("_bin") == F.col("_b")
+    # Null-safe throughout: a plain equality would push "is not null" tests of the bin down into one
+    # of the two uses of the counts, which would then no longer share their shuffle.
+    same = F.col("_bin").eqNullSafe(F.col("_b"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = W.partitionBy(*keys, "_bin").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)

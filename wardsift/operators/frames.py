@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    Filters and join conditions on an ordinary computed column are pushed down as copies of its
+    expression.  For costly ones (parsing, regular expressions over whole texts) the columns pass
+    through a one-element ``explode``, which such copies do not cross.
+    """
+    packed = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode(packed).alias("_once")).select(*kept, *[F.col("_once")[n].alias(n) for n in columns])
+
+
 def rename_by_split(df: DataFrame, separator: str = " ") -> DataFrame:
     """Cut every column name at the first separator; a clash of names is an error."""
     names = [c.split(separator)[0] if separator in c else c for c in df.columns]

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -40,7 +37,7 @@ class FittedModel:
     config: ModelConfig
     intercept: float
     coefficients: tuple[float, ...]
-    model: LogisticRegressionModel
+    model: LogisticRegressionModel | None = None
 
     def coefficient_rows(self) -> list[tuple[str, float]]:
         return list(zip(self.preprocessor.feature_names, self.coefficients, strict=True))
@@ -55,7 +52,9 @@ class FittedModel:
         return self.intercept - shift, slopes, levels
 
     def pipeline(self) -> PipelineModel:
-        """Preparation and model as one savable pipeline."""
+        """Preparation and model as one savable pipeline (models of :func:`fit_logistic` only)."""
+        if self.model is None:
+            raise ValueError("fit with fit_logistic to save a pipeline")
         return PipelineModel([*self.preprocessor.stages(), self.model])
 
 
@@ -114,18 +113,6 @@ def fit_logistic(
     return FittedModel(preprocessor, config, intercept, tuple(weights[:-1]), model)
 
 
-def fit_many(spark: SparkSession, jobs: Sequence[Callable[[], FittedModel]], parallelism: int = 8) -> list[FittedModel]:
-    """Run fits as concurrent Spark jobs, like MLlib's own cross-validation."""
-    if not jobs:
-        return []
-    run = inheritable_thread_target(spark)(lambda job: job())
-    pool = ThreadPool(min(parallelism, len(jobs)))
-    try:
-        return pool.map(run, jobs, chunksize=1)
-    finally:
-        pool.close()
-
-
 FIT_SCHEMA = T.StructType(
     [
         T.StructField("config_id", T.IntegerType()),

@@ -4,24 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import char_ratio, text_hash, text_metrics
+from ..functions.text import METRICS, char_ratio, text_hash, text_metrics
 from .distribution import percentile_at, ranked_values, value_counts
+from .frames import compute_once
 
 TINY_WORDS = 3
 HUGE_QUANTILE = 0.99
+RATIOS = {"digit_ratio": "n_digits", "upper_ratio": "n_upper", "punct_ratio": "n_punct"}
 
 
-def with_text_metrics(df: DataFrame, text_col: str = "report_text") -> DataFrame:
-    """Add the nine text metrics; a null or empty text counts as zero everywhere."""
-    return df.withColumns(text_metrics(text_col)).withColumns(
-        {
-            "digit_ratio": char_ratio("n_digits"),
-            "upper_ratio": char_ratio("n_upper"),
-            "punct_ratio": char_ratio("n_punct"),
-        }
-    )
+def with_text_metrics(df: DataFrame, text_col: str = "report_text", metrics: Sequence[str] = METRICS) -> DataFrame:
+    """Add text metrics (all nine by default); a null or empty text counts as zero everywhere."""
+    unknown = sorted(set(metrics) - set(METRICS))
+    if unknown:
+        raise ValueError(f"unknown text metrics: {unknown}")
+    parts = {m: (RATIOS[m], "n_chars") if m in RATIOS else (m,) for m in metrics}
+    needed = {part for names in parts.values() for part in names}
+    counted = compute_once(df, {name: c for name, c in text_metrics(text_col).items() if name in needed})
+    ratios = {m: char_ratio(RATIOS[m]) for m in metrics if m in RATIOS}
+    kept = [c for c in df.columns if c not in metrics]
+    return (counted.withColumns(ratios) if ratios else counted).select(*[F.col(f"`{c}`") for c in kept], *metrics)
 
 
 def sanity_profile(df: DataFrame, text_col: str = "report_text", label_col: str = "expected_action") -> DataFrame:
@@ -87,12 +91,17 @@ def extreme_rates(df: DataFrame, quantile: float = HUGE_QUANTILE) -> DataFrame:
 
 
 def sample_heads(df: DataFrame, flags: dict[str, int], columns: Sequence[str], order: str = "case_id") -> DataFrame:
-    """First ``n`` rows per flag by ``order``: a report of examples, one top-n per flag."""
-    out = None
-    for flag, n in flags.items():
-        head = df.filter(F.col(flag)).select(F.lit(flag).alias("flag"), order, *columns).orderBy(order).limit(n)
-        out = head if out is None else out.unionByName(head)
-    return out
+    """First rows per flag by ``order`` (as many as the flag asks for): a report of examples.
+
+    All flags are served by one scan; the rank limit is pushed below the shuffle.
+    """
+    marks = F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f).alias("on"), F.lit(n).alias("n")) for f, n in flags.items()])
+    marked = df.select(order, *columns, F.explode(marks).alias("_m")).filter(F.col("_m")["on"])
+    ranked = marked.select("_m.flag", "_m.n", order, *columns).withColumn(
+        "_rn", F.row_number().over(W.partitionBy("flag").orderBy(order))
+    )
+    most = max(flags.values())
+    return ranked.filter(F.col("_rn") <= most).filter(F.col("_rn") <= F.col("n")).drop("n", "_rn")
 
 
 def duplicate_rate(df: DataFrame, text_col: str = "report_text") -> DataFrame:

@@ -1,7 +1,7 @@
 """Fits over many splits and configurations.
 
-Splits and configurations are columns.  The only driver loop is over model fits; all scoring and
-all metrics of all models run in single aggregations keyed by ``(config_id, split_id)``.
+Splits and configurations are columns.  All models are fitted in the same passes, and all scoring
+and metrics run in single aggregations keyed by ``(config_id, split_id)``.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from ..functions.labels import decision_at
 from ..session import cut_lineage
 from .curves import best_threshold, curve_areas, curve_points, score_counts, threshold_sweep
 from .evaluation import confusion, with_binary_metrics
-from .features import FeatureSpec, compress_patterns, fit_preprocessors
-from .models import FittedModel, ModelConfig, fit_logistic, fit_many, fit_table, score_fits
+from .features import FeatureSpec, compress_patterns
+from .joint_fit import JointModel, fit_jointly
+from .models import FittedModel, ModelConfig, fit_table, score_fits
 from .splits import SEED, TEST_SHARE, fold_roles, group_folds, group_shuffle_splits, group_sizes, stratified_split, with_signature
 
 MODEL_KEYS = ["config_id", "split_id"]
@@ -34,15 +35,10 @@ class TrainingSet:
     spec: FeatureSpec
     split_ids: tuple[int, ...]
     split_mode: str
-    n_patterns: int
 
     def _train_ids(self) -> Column:
         return F.array_except(F.array(*[F.lit(s) for s in self.split_ids]), F.col("test_in"))
 
-    def train_of(self, split_id: int, inner: bool) -> DataFrame:
-        rows = self.table.filter(~F.array_contains("test_in", split_id))
-        return rows.filter(F.col("inner") == "train") if inner else rows
-
     def train_rows(self, inner_side: str | None = None) -> DataFrame:
         """Train patterns of every split, with ``split_id``."""
         rows = self.table if inner_side is None else self.table.filter(F.col("inner") == inner_side)
@@ -53,17 +49,18 @@ class TrainingSet:
         return self.table.withColumn("split_id", F.explode("test_in"))
 
 
-def _compressed(
-    signals: DataFrame, spec: FeatureSpec, key: str, label_col: str, seed: int, keep: Sequence[str]
-) -> DataFrame:
-    labelled = signals.withColumnRenamed(label_col, "label") if label_col != "label" else signals
-    drawn = stratified_split(labelled, key, "label", TEST_SHARE, seed, salt="inner", out_col="inner")
+def _compressed(signals: DataFrame, spec: FeatureSpec, key: str, seed: int, keep: Sequence[str]) -> DataFrame:
+    drawn = stratified_split(signals, key, "label", TEST_SHARE, seed, salt="inner", out_col="inner")
     return cut_lineage(compress_patterns(drawn, spec, "label", [*keep, "inner"]))
 
 
+def _written_signals(signals: DataFrame, spec: FeatureSpec, key: str, label_col: str) -> DataFrame:
+    """Key, features and label, written once: the draws and the patterns all start from them."""
+    return cut_lineage(signals.select(key, *spec.columns, F.col(label_col).alias("label")))
+
+
 def _training_set(table: DataFrame, spec: FeatureSpec, split_ids: Sequence[int], mode: str) -> TrainingSet:
-    written = cut_lineage(table)
-    return TrainingSet(written, spec, tuple(split_ids), mode, written.count())
+    return TrainingSet(cut_lineage(table), spec, tuple(split_ids), mode)
 
 
 def holdout_training_set(
@@ -75,8 +72,9 @@ def holdout_training_set(
     seed: int = SEED,
 ) -> TrainingSet:
     """One stratified train/test split of the rows."""
-    drawn = stratified_split(signals, key, label_col, test_share, seed, salt="holdout", out_col="_role")
-    patterns = _compressed(drawn, spec, key, label_col, seed, ["_role"])
+    rows = _written_signals(signals, spec, key, label_col)
+    drawn = stratified_split(rows, key, "label", test_share, seed, salt="holdout", out_col="_role")
+    patterns = _compressed(drawn, spec, key, seed, ["_role"])
     test_in = F.when(F.col("_role") == "test", F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     return _training_set(patterns.withColumn("test_in", test_in).drop("_role"), spec, [1], "stratified")
 
@@ -96,7 +94,8 @@ def group_training_set(
     A group is a feature signature, so a group is a pattern and the splits are drawn on the
     compressed table.
     """
-    patterns = with_signature(_compressed(signals, spec, key, label_col, seed, []), spec.columns)
+    rows = _written_signals(signals, spec, key, label_col)
+    patterns = with_signature(_compressed(rows, spec, key, seed, []), spec.columns)
     sizes = group_sizes(patterns, "group_key", "weight")
     if split_mode == "group_shuffle":
         roles = group_shuffle_splits(sizes, n_splits, test_share, seed)
@@ -120,20 +119,20 @@ def group_training_set(
 Fits = dict[tuple[int, int], FittedModel]
 
 
-def cross_fit(
-    data: TrainingSet, configs: Sequence[ModelConfig], inner: bool = False, parallelism: int = 8
-) -> Fits:
-    """One model per configuration and split; ``inner`` leaves the inner validation side out."""
-    prepared = fit_preprocessors(data.train_rows("train" if inner else None), data.spec, "split_id")
-    keys = [(c, s) for c in range(len(configs)) for s in data.split_ids if s in prepared]
+def cross_fit(data: TrainingSet, configs: Sequence[ModelConfig], inner: bool = False) -> Fits:
+    """One model per configuration and split, all fitted together; ``inner`` leaves the inner
+    validation side out."""
+    keys = [(c, s) for c in range(len(configs)) for s in data.split_ids]
+    models = [JointModel(configs[c], s, inner) for c, s in keys]
+    return dict(zip(keys, fit_jointly(data.table, data.spec, data.split_ids, models), strict=True))
 
-    def job(config_id: int, split_id: int):
-        return lambda: fit_logistic(
-            data.train_of(split_id, inner), prepared[split_id], configs[config_id], rows=2 * data.n_patterns
-        )
 
-    models = fit_many(data.table.sparkSession, [job(*k) for k in keys], parallelism)
-    return dict(zip(keys, models, strict=True))
+def cross_fit_both(data: TrainingSet, configs: Sequence[ModelConfig]) -> tuple[Fits, Fits]:
+    """Outer and inner models in the same passes over the data."""
+    keys = [(c, s) for c in range(len(configs)) for s in data.split_ids]
+    models = [JointModel(configs[c], s, inner) for inner in (False, True) for c, s in keys]
+    fitted = fit_jointly(data.table, data.spec, data.split_ids, models)
+    return dict(zip(keys, fitted[: len(keys)], strict=True)), dict(zip(keys, fitted[len(keys) :], strict=True))
 
 
 def score_test(data: TrainingSet, fits: Fits) -> DataFrame:
@@ -187,17 +186,14 @@ class Validation:
     fits: Fits
 
 
-def validate(
-    data: TrainingSet, configs: Sequence[ModelConfig], metric: str = "f2", parallelism: int = 8
-) -> Validation:
+def validate(data: TrainingSet, configs: Sequence[ModelConfig], metric: str = "f2") -> Validation:
     """Fit every configuration on every split and evaluate it.
 
     The threshold comes from an inner model that never saw the inner validation side; the tested
     model is fitted on the whole train side.
     """
     spark = data.table.sparkSession
-    fits = cross_fit(data, configs, False, parallelism)
-    inner = cross_fit(data, configs, True, parallelism)
+    fits, inner = cross_fit_both(data, configs)
     sweep = threshold_sweep(score_inner(data, inner), MODEL_KEYS, weight_col="weight")
     best = best_threshold(sweep, MODEL_KEYS, metric).select(*MODEL_KEYS, "threshold")
     named = spark.createDataFrame(

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.labels import decision_at
 from ..operators.evaluation import classification_report, confusion, with_binary_metrics
-from ..operators.features import FeatureSpec, Preprocessor, compress_patterns
+from ..operators.features import FeatureSpec, compress_patterns, fit_preprocessor
 from ..operators.frames import sort_top_k
-from ..operators.models import ModelConfig, coefficient_table, fit_logistic, fit_many, fit_table, score_fits
+from ..operators.joint_fit import JointModel, fit_jointly
+from ..operators.models import FittedModel, ModelConfig, coefficient_table, fit_logistic, fit_table, score_fits
 from ..operators.splits import SEED, stratified_folds
 from ..operators.summaries import CV_COLUMNS, TOP_ORDER, cv_summary, grid_summary
 from ..operators.validation import (
@@ -153,6 +154,14 @@ def validate_top(
     return validate(data, configs)
 
 
+def final_model(
+    signals: DataFrame, config: ModelConfig = ModelConfig(class_weight="balanced"), spec: FeatureSpec = FeatureSpec()
+) -> FittedModel:
+    """One MLlib model on all rows, ready to be saved with its preparation."""
+    patterns = cut_lineage(compress_patterns(signals, spec))
+    return fit_logistic(patterns, fit_preprocessor(patterns, spec), config)
+
+
 def shortcut_probe(
     metrics: DataFrame,
     key: str = "case_id",
@@ -165,14 +174,11 @@ def shortcut_probe(
     spec = FeatureSpec(tuple(features), ())
     folded = stratified_folds(metrics.withColumnRenamed(label_col, "label"), key, "label", n_folds, seed)
     table = cut_lineage(compress_patterns(folded, spec, "label", ["fold"]))
-    unscaled = Preprocessor(spec, {f: 0.0 for f in features}, {f: 1.0 for f in features})
-    config = ModelConfig(max_iter=2000, penalise_intercept=False)
-
-    def job(fold: int):
-        return lambda: fit_logistic(table.filter(F.col("fold") != fold), unscaled, config)
-
-    models = fit_many(metrics.sparkSession, [job(f) for f in range(1, n_folds + 1)])
-    fits = fit_table(metrics.sparkSession, {(0, f): m for f, m in enumerate(models, start=1)})
+    folds = range(1, n_folds + 1)
+    marked = table.withColumns({"test_in": F.array("fold"), "inner": F.lit("train")})
+    config = ModelConfig(penalise_intercept=False)
+    models = fit_jointly(marked, spec, folds, [JointModel(config, f) for f in folds], scale=False)
+    fits = fit_table(metrics.sparkSession, {(0, f): m for f, m in zip(folds, models, strict=True)})
     scored = score_fits(table.withColumnRenamed("fold", "split_id"), fits, spec)
     decided = scored.withColumn("prediction", decision_at("score", 0.5))
     per_fold = with_binary_metrics(confusion(decided, ["split_id"], weight_col="weight"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_small_input(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan that has fewer tasks than the session has slots.
+
+    A small file with a single row group is read by one task, which then does all the text work.
+    An input of many files has more tasks than slots and is returned as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+
+
+def ship_packages(spark: SparkSession, *folders: str) -> None:
+    """Send Python packages to the workers, for runs where they are not installed there.
+
+    Only functions that run in Python workers (annotators, joint fits) need this.
+    """
+    context = spark.sparkContext
+    for folder in folders:
+        name = f"{os.path.basename(folder)}-{context.applicationId}.zip"
+        if any(f.endswith(name) for f in context.listFiles):
+            continue
+        target = os.path.join(tempfile.mkdtemp(prefix="wardsift-ship-"), name)
+        with zipfile.ZipFile(target, "w") as archive:
+            for root, _, files in os.walk(folder):
+                for file in sorted(f for f in files if f.endswith(".py")):
+                    path = os.path.join(root, file)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(folder)))
+        context.addPyFile(target)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.labels import decision_at
 from ..session import cut_lineage
 from .curves import best_threshold, curve_areas, curve_points, score_counts, threshold_sweep
-from .evaluation import confusion, with_binary_metrics
+from .evaluation import COUNTS, with_binary_metrics
 from .features import FeatureSpec, compress_patterns
 from .joint_fit import JointModel, fit_jointly
 from .models import FittedModel, ModelConfig, fit_table, score_fits
@@ -145,28 +145,47 @@ def score_inner(data: TrainingSet, fits: Fits) -> DataFrame:
     return score_fits(data.train_rows("test"), fit_table(data.table.sparkSession, fits), data.spec)
 
 
-def split_metrics(
-    scored: DataFrame, data: TrainingSet, thresholds: DataFrame | None = None, label_col: str = "label"
-) -> DataFrame:
-    """Metrics per (config, split) at 0.5, or at the ``threshold`` column of ``thresholds``."""
-    if thresholds is None:
-        decided = scored.withColumn("prediction", decision_at("score", 0.5))
-    else:
-        # One threshold per model.
-        cut = F.broadcast(thresholds.select(*MODEL_KEYS, F.col("threshold").alias("_t")))
-        decided = scored.join(cut, MODEL_KEYS).withColumn("prediction", decision_at("score", F.col("_t")))
-    counts = with_binary_metrics(confusion(decided, MODEL_KEYS, label_col, "prediction", "weight"))
-    areas = curve_areas(
-        curve_points(score_counts(scored, MODEL_KEYS, "score", label_col, "weight"), MODEL_KEYS), MODEL_KEYS
-    ).select(*MODEL_KEYS, "roc_auc", "pr_auc")
+def model_metrics(scored: DataFrame, thresholds: DataFrame, data: TrainingSet, label_col: str = "label") -> DataFrame:
+    """One row per (config, split): areas under the curves, confusion counts at 0.5 and at ``best_t``.
+
+    Count columns at the best threshold carry the prefix ``best_``.
+    """
+    # One threshold per model.
+    best = F.broadcast(thresholds.select(*MODEL_KEYS, F.col("threshold").alias("best_t")))
+    decided = scored.join(best, MODEL_KEYS).withColumns(
+        {"_half": decision_at("score", 0.5), "_best": decision_at("score", F.col("best_t"))}
+    )
+    cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+    sums = [
+        F.expr(f"CAST(sum(CASE WHEN `{label_col}` = {y} AND {column} = {p} THEN weight ELSE 0 END) AS BIGINT)").alias(prefix + name)
+        for prefix, column in (("", "_half"), ("best_", "_best"))
+        for name, (y, p) in cells.items()
+    ]
+    counts = decided.groupBy(*MODEL_KEYS, "best_t").agg(*sums)
+    points = curve_points(score_counts(scored, MODEL_KEYS, "score", label_col, "weight"), MODEL_KEYS)
+    areas = curve_areas(points, MODEL_KEYS).select(*MODEL_KEYS, "roc_auc", "pr_auc")
     total = data.table.agg(F.sum("weight")).scalar()
-    n_test, n_pos = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"), F.col("fn") + F.col("tp")
-    return counts.join(areas, MODEL_KEYS).select(
+    return counts.join(areas, MODEL_KEYS).withColumns({"n_all": total, "split_mode": F.lit(data.split_mode)})
+
+
+def counts_at(metrics: DataFrame, prefix: str = "") -> DataFrame:
+    """Confusion counts of :func:`model_metrics` under their plain names (``best_`` for the best threshold)."""
+    kept = [c for c in metrics.columns if c.removeprefix("best_") not in COUNTS]
+    return metrics.select(*kept, *[F.col(prefix + c).alias(c) for c in COUNTS])
+
+
+def result_table(metrics: DataFrame, prefix: str = "") -> DataFrame:
+    """Result rows per (config, split) as a cross-validation reports them."""
+    n_test, n_pos = F.expr("tn + fp + fn + tp"), F.expr("fn + tp")
+    named = [c for c in ("C", "l1_ratio", "class_weight") if c in metrics.columns]
+    return with_binary_metrics(counts_at(metrics, prefix)).select(
         *MODEL_KEYS,
-        F.lit(data.split_mode).alias("split_mode"),
+        *named,
+        "split_mode",
         n_test.alias("n_test"),
-        (n_test / total).alias("part_test"),
+        (n_test / F.col("n_all")).alias("part_test"),
         (n_pos / n_test).alias("pos_rate"),
+        "best_t",
         "roc_auc",
         "pr_auc",
         "precision",
@@ -178,30 +197,38 @@ def split_metrics(
 
 @dataclass(frozen=True)
 class Validation:
-    """Result tables keyed by ``(config_id, split_id)`` and the fitted models."""
+    """Tables keyed by ``(config_id, split_id)`` and the fitted models.
+
+    ``metrics`` holds the counts; ``results`` are the metrics at 0.5 and ``best_t_results`` those at
+    the best threshold.
+    """
 
-    results: DataFrame
-    best_t_results: DataFrame
+    metrics: DataFrame
     thresholds: DataFrame
     fits: Fits
 
+    @property
+    def results(self) -> DataFrame:
+        return result_table(self.metrics)
+
+    @property
+    def best_t_results(self) -> DataFrame:
+        return result_table(self.metrics, "best_")
+
 
 def validate(data: TrainingSet, configs: Sequence[ModelConfig], metric: str = "f2") -> Validation:
     """Fit every configuration on every split and evaluate it.
 
     The threshold comes from an inner model that never saw the inner validation side; the tested
-    model is fitted on the whole train side.
+    model is fitted on the whole train side.  The metrics table (one row per model) is written once.
     """
     spark = data.table.sparkSession
     fits, inner = cross_fit_both(data, configs)
     sweep = threshold_sweep(score_inner(data, inner), MODEL_KEYS, weight_col="weight")
-    best = best_threshold(sweep, MODEL_KEYS, metric).select(*MODEL_KEYS, "threshold")
+    best = best_threshold(sweep, MODEL_KEYS, metric)
     named = spark.createDataFrame(
-        [(i, c.C, float(c.l1_ratio), str(c.class_weight)) for i, c in enumerate(configs)],
+        [(i, float(c.C), float(c.l1_ratio), str(c.class_weight)) for i, c in enumerate(configs)],
         "config_id int, C double, l1_ratio double, class_weight string",
     )
-    scored = score_test(data, fits)
-    best_t = best.withColumnRenamed("threshold", "best_t")
-    results = split_metrics(scored, data).join(best_t, MODEL_KEYS).join(F.broadcast(named), "config_id")
-    at_best = split_metrics(scored, data, best).join(best_t, MODEL_KEYS).join(F.broadcast(named), "config_id")
-    return Validation(results, at_best, sweep, fits)
+    metrics = model_metrics(score_test(data, fits), best, data).join(F.broadcast(named), "config_id")
+    return Validation(cut_lineage(metrics), sweep, fits)

@@ -20,6 +20,7 @@ from ..operators.validation import (
     MODEL_KEYS,
     TrainingSet,
     Validation,
+    counts_at,
     group_training_set,
     holdout_training_set,
     score_test,
@@ -53,13 +54,10 @@ def single_run(
     """Stratified split, inner threshold sweep, fit on the whole train side, test at the best threshold."""
     data = holdout_training_set(signals, spec, **split)
     outcome = validate(data, [config])
-    scored = score_test(data, outcome.fits)
-    best = outcome.best_t_results.select(*MODEL_KEYS, "best_t")
-    decided = scored.join(F.broadcast(best), MODEL_KEYS).withColumn("prediction", decision_at("score", F.col("best_t")))
-    report = classification_report(confusion(decided, MODEL_KEYS, weight_col="weight"), MODEL_KEYS)
+    report = classification_report(counts_at(outcome.metrics, "best_"), MODEL_KEYS)
     coefficients = coefficient_table(signals.sparkSession, outcome.fits)
     return SingleRun(
-        outcome.results, outcome.best_t_results, report, outcome.thresholds, coefficients, scored, outcome
+        outcome.results, outcome.best_t_results, report, outcome.thresholds, coefficients, score_test(data, outcome.fits), outcome
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -68,12 +69,6 @@ def delimiter_of(header: str) -> str:
     raise ValueError(f"unknown delimiter in header: {header!r}")
 
 
-def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """Delimiter by the header line of a file."""
-    first = spark.read.option("encoding", "ISO-8859-1").text(path).limit(1).collect()
-    return delimiter_of(first[0][0] if first else "")
-
-
 def _read_dialect(spark: SparkSession, paths: str | Sequence[str], delimiter: str) -> DataFrame:
     return spark.read.csv(
         paths if isinstance(paths, str) else list(paths),
@@ -117,8 +112,18 @@ def unify_ids(df: DataFrame, spellings: Mapping[str, str] = ID_SPELLINGS) -> Dat
 
 def list_files(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the files in a folder, from Spark's own file listing."""
-    rows = spark.read.format("binaryFile").load(folder).select("path").collect()
-    return sorted(r["path"] for r in rows)
+    return sorted(unquote(path) for path in spark.read.text(folder).inputFiles())
+
+
+def header_line(spark: SparkSession, path: str) -> str:
+    """First line of a file; only the start of the file is read."""
+    first = spark.read.option("encoding", "ISO-8859-1").text(path).limit(1).collect()
+    return first[0][0] if first else ""
+
+
+def detect_delimiter(spark: SparkSession, path: str) -> str:
+    """Delimiter by the header line of a file."""
+    return delimiter_of(header_line(spark, path))
 
 
 def read_folder(spark: SparkSession, folder: str, numeric: Sequence[str] = ()) -> DataFrame:
@@ -128,18 +133,8 @@ def read_folder(spark: SparkSession, folder: str, numeric: Sequence[str] = ()) -
     files; id spellings are unified and columns missing from a dialect are null.
     """
     by_header: dict[str, list[str]] = {}
-    # Header lines only: the first line of each file, found without moving file contents.
-    lines = spark.read.option("encoding", "ISO-8859-1").text(folder)
-    headers = (
-        lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-        .withColumn("line", F.monotonically_increasing_id())
-        .filter(F.col("start") == 0)
-        .groupBy("path")
-        .agg(F.min_by("value", "line").alias("header"))
-        .collect()
-    )
-    for row in sorted(headers, key=lambda r: r["path"]):
-        by_header.setdefault(row["header"], []).append(row["path"])
+    for path in list_files(spark, folder):
+        by_header.setdefault(header_line(spark, path), []).append(path)
     out = None
     for header, paths in by_header.items():
         df = unify_ids(fix_single_column(_read_dialect(spark, paths, delimiter_of(header))))

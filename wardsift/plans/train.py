@@ -170,7 +170,9 @@ def shortcut_probe(
 ) -> DataFrame:
     """How well surface metrics alone predict the label: F1 per fold, mean and population std."""
     spec = FeatureSpec(tuple(features), ())
-    folded = stratified_folds(metrics.withColumnRenamed(label_col, "label"), key, "label", n_folds, seed)
+    # Written once: the fold draw and the patterns both start from it.
+    narrow = cut_lineage(metrics.select(key, *features, F.col(label_col).alias("label")))
+    folded = stratified_folds(narrow, key, "label", n_folds, seed)
     table = cut_lineage(compress_patterns(folded, spec, "label", ["fold"]))
     folds = range(1, n_folds + 1)
     marked = table.withColumns({"test_in": F.array("fold"), "inner": F.lit("train")})

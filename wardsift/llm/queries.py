@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from checks.registry import query
+from wardsift.llm.op1_decontamination import contaminated
 from wardsift.llm.op2_simhash import simhash_groups
+from wardsift.llm.op3_licenses import NOTICES, license_matches
 from wardsift.llm.op8_quality import quality_rules
 
 
@@ -13,12 +15,56 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _shingle_sql(name: str, table: str, key: str, width: int = 5) -> str:
+    """Distinct word shingles of a table, A-Z lower-cased; a shorter text is one shingle."""
+    return rf"""
+{name}_words AS (
+  SELECT {key}, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM {table}),
+{name} AS (
+  SELECT {key}, s, min(i) AS i FROM (
+    SELECT {key}, i, list_aggregate(w[i:i+{width - 1}], 'string_agg', ' ') AS s
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS i FROM {name}_words WHERE len(w) > 0))
+  GROUP BY {key}, s)"""
+
+
+OP1_SQL = f"""
+WITH {_shingle_sql("d", "documents", "doc_id")}, {_shingle_sql("b", "benchmark", "item_id")},
+sizes AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared
+FROM d JOIN b USING (s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item"""
+
+
+@query("op1_decontamination", OP1_SQL)
+def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(documents(spark, sf))
 
 
-WORD = r"[^\x20\x09-\x0D]+"
+_NOTICES_SQL = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in NOTICES.items())
+
+OP3_SQL = f"""
+WITH notices AS (SELECT * FROM (VALUES {_NOTICES_SQL}) AS v(license_id, text)),
+{_shingle_sql("d", "documents", "doc_id")}, {_shingle_sql("b", "notices", "license_id")},
+sizes AS (SELECT license_id, count(*) AS n_template FROM b GROUP BY license_id)
+SELECT doc_id, license_id, n_template, count(*) AS n_shared, min(d.i) - 1 AS first_word
+FROM d JOIN b USING (s) JOIN sizes USING (license_id)
+GROUP BY doc_id, license_id, n_template HAVING count(*) >= 0.8 * n_template"""
+
+
+@query("op3_licenses", OP3_SQL)
+def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return license_matches(documents(spark, sf))
+
 
 OP8_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

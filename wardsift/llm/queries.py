@@ -8,6 +8,7 @@ from checks.registry import query
 from wardsift.llm.op1_decontamination import contaminated
 from wardsift.llm.op2_simhash import simhash_groups
 from wardsift.llm.op3_licenses import NOTICES, license_matches
+from wardsift.llm.op7_warc import archive_pages
 from wardsift.llm.op8_quality import quality_rules
 
 
@@ -66,6 +67,20 @@ def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return license_matches(documents(spark, sf))
 
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS low FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN low <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN low <> page_id THEN low END AS refers_to
+FROM f"""
+
+
+@query("op7_warc", OP7_SQL)
+def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_pages(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 OP8_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD}') AS words FROM t),

@@ -29,7 +29,7 @@ def brute(text, min_repeat=10):
     failed = n < 50 or 100 * repeat3 > 50 * n
     cover = covered(min_repeat)
     return (n, sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeat3, cover, longest,
-            failed, not failed and cover <= 0.3 * n and longest <= 100)
+            failed, not failed and cover <= 0.45 * n and longest <= 100 and sum(c in '#*$%&|<>' for c in text) <= 0.3 * n)
 
 
 def test_counts_and_verdict_equal_brute_force(spark):

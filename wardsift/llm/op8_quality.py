@@ -31,14 +31,16 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_repeat: int = 10,
-    max_covered: float = 0.3,
+    max_covered: float = 0.45,
     max_repeat: int = 100,
+    max_symbols: float = 0.3,
 ) -> DataFrame:
     """Counts and verdict per document (column ``id_col`` and those of ``SCHEMA``).
 
     A document is kept if the base rules hold (50 words or more, at most half of the words in repeated
     3-word windows), repeats of ``min_repeat`` words or more cover at most ``max_covered`` of its
-    words, and no repeat has more than ``max_repeat`` words.  Null and empty texts have no words and
+    words, no repeat has more than ``max_repeat`` words, and there are at most ``max_symbols`` symbols per
+    word.  Null and empty texts have no words and
     fail.  Null ids and repeated rows are judged row by row; an empty table gives an empty result; other
     columns are ignored, whatever their names.
     """
@@ -46,12 +48,12 @@ def quality_rules(
 
     def run(batches: Batches) -> Batches:
         for piece in pieces(batches, "text"):
-            yield record({"id": piece.column("id")} | _judge(*flat(piece.column("text")), min_repeat, max_covered, max_repeat))
+            yield record({"id": piece.column("id")} | _judge(*flat(piece.column("text")), min_repeat, max_covered, max_repeat, max_symbols))
 
     return mapped(texts(docs, id_col, text_col), run, SCHEMA.format(id=kind)).withColumnRenamed("id", id_col)
 
 
-def _judge(data: np.ndarray, offsets: np.ndarray, min_repeat: int, max_covered: float, max_repeat: int) -> dict:
+def _judge(data: np.ndarray, offsets: np.ndarray, min_repeat: int, max_covered: float, max_repeat: int, max_symbols: float) -> dict:
     rows = len(offsets) - 1
     starts, ends, first = words(data, offsets)
     sums = byte_sums(data)
@@ -63,17 +65,21 @@ def _judge(data: np.ndarray, offsets: np.ndarray, min_repeat: int, max_covered:
     covered = _row_sums(_union(span), first)
     longest = np.zeros(rows, np.int64)
     np.maximum.at(longest, row, span)
+    n_symbols = _row_sums(_IS_SYMBOL[data], offsets)
     base_failed = (n_words < 50) | (100 * repeat_words > 50 * n_words)
     return {
         "n_words": n_words,
         "word_chars": _row_sums(~IS_SPACE[data] & ((data & 0xC0) != 0x80), offsets),
-        "n_symbols": _row_sums(_IS_SYMBOL[data], offsets),
+        "n_symbols": n_symbols,
         "n_dup_lines": _duplicate_lines(data, offsets, sums, starts),
         "n_repeat_words": repeat_words,
         "n_covered_words": covered,
         "longest_repeat": longest,
         "base_failed": base_failed,
-        "kept": ~base_failed & (covered <= max_covered * n_words) & (longest <= max_repeat),
+        "kept": ~base_failed
+        & (covered <= max_covered * n_words)
+        & (longest <= max_repeat)
+        & (n_symbols <= max_symbols * n_words),
     }
 
 

@@ -29,24 +29,17 @@ _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 def pack(docs: DataFrame, id_col: str, text_col: str, *more: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(``chunk``, ``size`` in bytes of text, ``body``), written once so that chunk numbers stay as they are."""
 
-    def body(held: list[pa.RecordBatch]) -> bytes:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=_ZSTD) as out:
-            for batch in held:
-                out.write_batch(batch)
-        return sink.getvalue().to_pybytes()
-
     def run(batches: Batches) -> Batches:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for piece in pieces(batches, "text"):
             own = len(flat(piece.column("text"))[0])
             if held and size + own > chunk_bytes:
-                yield record({"chunk": [number], "size": [size], "body": [body(held)]})
+                yield record({"chunk": [number], "size": [size], "body": [_body(held)]})
                 number, held, size = number + 1, [], 0
             held.append(_copy(piece))
             size += own
         if held:
-            yield record({"chunk": [number], "size": [size], "body": [body(held)]})
+            yield record({"chunk": [number], "size": [size], "body": [_body(held)]})
 
     narrow = texts(docs, id_col, text_col) if not more else docs.select(
         F.col(f"`{id_col}`").alias("id"), *more, F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text")
@@ -54,6 +47,14 @@ def pack(docs: DataFrame, id_col: str, text_col: str, *more: str, chunk_bytes: i
     return written(mapped(narrow, run, "chunk long, size long, body binary"))
 
 
+def _body(held: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held[0].schema, options=_ZSTD) as out:
+        for batch in held:
+            out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def _copy(piece: pa.RecordBatch) -> pa.RecordBatch:
     return piece.take(pa.array(np.arange(piece.num_rows)))
 

@@ -8,6 +8,7 @@ from checks.registry import query
 from wardsift.llm.op1_decontamination import contaminated
 from wardsift.llm.op2_simhash import simhash_groups
 from wardsift.llm.op3_licenses import NOTICES, license_matches
+from wardsift.llm.op5_lm import interpolated_scores
 from wardsift.llm.op7_warc import archive_pages
 from wardsift.llm.op8_quality import quality_rules
 
@@ -67,6 +68,11 @@ def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return license_matches(documents(spark, sf))
 
 
+@query("op5_lm")
+def op5_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return interpolated_scores(documents(spark, sf))
+
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),

@@ -65,7 +65,7 @@ def _count(keys: np.ndarray, folds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return distinct, kept << SHIFT | cut
 
 
-def _sum_group(group: np.ndarray, facts: np.ndarray) -> np.ndarray:
+def _sum_group(group: np.ndarray, facts: np.ndarray, chunk: np.ndarray) -> np.ndarray:
     kept = np.bincount(group, weights=facts >> SHIFT).astype(np.uint64)
     cut = np.bincount(group, weights=facts & np.uint64(0xFFFFFFFF)).astype(np.uint64)
     return (kept << SHIFT | cut)[group]

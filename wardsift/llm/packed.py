@@ -102,11 +102,11 @@ def requests(chunk: int, kind: int, keys: np.ndarray, facts: np.ndarray, bits: i
         )
 
 
-def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(``chunk``, ``kind``, ``bucket``, ``reply``) for request rows.
 
-    ``reply(group, facts)`` sees all keys of a bucket: ``group`` numbers the distinct keys.  It returns
-    one 64-bit value per requested key.
+    ``reply(group, facts, chunk)`` sees all keys of a bucket: ``group`` numbers the distinct keys, ``chunk`` tells who
+    asks.  It returns one 64-bit value per requested key.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +114,8 @@ def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarra
         facts = np.concatenate([from_planes(f) for f in rows["facts"]])
         ends = np.cumsum([len(k) for k in keys])
         _, group = np.unique(np.concatenate(keys), return_inverse=True)
-        parts = np.split(reply(group, facts), ends[:-1])
+        chunk = np.repeat(rows["chunk"].to_numpy(), [len(k) for k in keys])
+        parts = np.split(reply(group, facts, chunk), ends[:-1])
         return pd.DataFrame(
             {"chunk": rows["chunk"], "kind": rows["kind"], "bucket": rows["bucket"], "reply": [planes(p) for p in parts]}
         )
@@ -139,3 +140,17 @@ def chunks_of(batches: Batches) -> Iterator[tuple[int, list[pa.RecordBatch], pa.
         has = "replies" in batch.schema.names
         for i in range(batch.num_rows):
             yield batch.column("chunk")[i].as_py(), unpack(batch.column("body")[i]), batch.column("replies")[i] if has else None
+
+
+def is_repeated(group: np.ndarray, facts: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """1 where a key occurs twice or more in all; facts are the counts in each chunk."""
+    return (np.bincount(group, weights=facts) > 1)[group].astype(np.uint64)
+
+
+def is_first(group: np.ndarray, facts: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """1 for the chunk with the smallest fact of a key; chunk numbers break ties."""
+    order = np.lexsort((chunk, facts, group))
+    head = order[np.append(True, np.diff(group[order]) > 0)] if len(order) else order
+    first = np.zeros(len(group), np.uint64)
+    first[head] = 1
+    return first

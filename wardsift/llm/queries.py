@@ -9,6 +9,7 @@ from wardsift.llm.op1_decontamination import contaminated
 from wardsift.llm.op2_simhash import simhash_groups
 from wardsift.llm.op3_licenses import NOTICES, license_matches
 from wardsift.llm.op5_lm import interpolated_scores
+from wardsift.llm.op6_substrings import substring_digests
 from wardsift.llm.op7_warc import archive_pages
 from wardsift.llm.op8_quality import quality_rules
 
@@ -73,6 +74,26 @@ def op5_lm(spark: SparkSession, sf: str) -> DataFrame:
     return interpolated_scores(documents(spark, sf))
 
 
+OP6_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY list_aggregate(w[i:i+19], 'string_agg', ' ') ORDER BY doc_id, i) > 1 AS again
+  FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20)),
+hit AS (SELECT DISTINCT doc_id, i + k AS i FROM win, range(0, 20) AS o(k) WHERE again),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM t),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM word ANTI JOIN hit USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op6_substrings", OP6_SQL)
+def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_digests(documents(spark, sf))
+
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),

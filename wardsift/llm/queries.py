@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks.registry import query
 from wardsift.llm.op1_decontamination import contaminated
+from wardsift.llm.op10_language import identify, train
 from wardsift.llm.op2_simhash import simhash_groups
 from wardsift.llm.op3_licenses import NOTICES, license_matches
 from wardsift.llm.op5_lm import interpolated_scores
 from wardsift.llm.op6_substrings import substring_digests
 from wardsift.llm.op7_warc import archive_pages
 from wardsift.llm.op8_quality import quality_rules
+from wardsift.llm.op9_mixing import label_domains, mixing_rates
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,3 +149,13 @@ FROM judged"""
 @query("op8_quality", OP8_SQL)
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(documents(spark, sf)).drop("longest_repeat")
+
+
+@query("op9_mixing")
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing_rates(documents(spark, sf), label_domains(spark.read.parquet(f"{sf}/labels.parquet")))
+
+
+@query("op10_language")
+def op10_language(spark: SparkSession, sf: str) -> DataFrame:
+    return identify(spark.read.parquet(f"{sf}/pages.parquet"), train(documents(spark, sf)))

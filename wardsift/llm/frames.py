@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from wardsift.llm.text_arrays import PIECE_BYTES, pieces
 from wardsift.session import ensure_checkpoint_dir
 
 Batches = Iterator[pa.RecordBatch]
@@ -31,6 +34,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rows_where(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray], max_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Rows of ``docs``, with all columns, whose text ``keep`` flags; it gets the texts of a piece, null as empty."""
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            filled = pc.fill_null(batch.column(at), "")
+            wide = pa.RecordBatch.from_arrays([*batch.columns, filled], names=[str(i) for i in range(len(names) + 1)])
+            for piece in pieces([wide], str(len(names)), max_bytes):
+                out = piece.filter(pa.array(keep(piece.column(len(names)))))
+                yield pa.RecordBatch.from_arrays(out.columns[:-1], names=names)
+
+    return mapped(docs, run, docs.schema)
+
+
 def record(columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns)

@@ -6,11 +6,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wardsift.llm.frames import Batches, mapped, record, texts
+from wardsift.llm.frames import Batches, mapped, record, rows_where, texts
 from wardsift.llm.templates import TemplateIndex, blocks, text_shingles
 from wardsift.llm.text_arrays import pieces
 
@@ -79,19 +78,13 @@ def drop_contaminated(
 
 def _without(docs: DataFrame, block, text_col: str, threshold: float, width: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    at = docs.columns.index(text_col)
-
-    def run(batches: Batches) -> Batches:
-        index = TemplateIndex(*shared.value)
-        for batch in batches:
-            filled = pc.fill_null(batch.column(at), "")
-            batch = pa.RecordBatch.from_arrays([*batch.columns, filled], names=[str(i) for i in range(batch.num_columns + 1)])
-            for piece in pieces([batch], str(batch.num_columns - 1)):
-                row, _, _ = index.find(*text_shingles(piece.column(batch.num_columns - 1), width), threshold)
-                clean = np.ones(piece.num_rows, bool)
-                clean[row] = False
-                out = piece.filter(pa.array(clean))
-                yield pa.RecordBatch.from_arrays(out.columns[:-1], names=names)
-
-    names = docs.columns
-    return mapped(docs, run, docs.schema)
+    index: list[TemplateIndex] = []
+
+    def clean(column: pa.Array) -> np.ndarray:
+        if not index:
+            index.append(TemplateIndex(*shared.value))
+        flags = np.ones(len(column), bool)
+        flags[index[0].find(*text_shingles(column, width), threshold)[0]] = False
+        return flags
+
+    return rows_where(docs, text_col, clean)

@@ -12,8 +12,11 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wardsift.llm.frames import Batches, components, mapped, record, texts, written
 from wardsift.llm.text_arrays import LOWER, flat, pieces, words
@@ -142,3 +145,31 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(placed, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each group, that with the smallest id, with all columns.
+
+    Of rows with the same smallest id the one with the smallest fingerprint, then the smallest text digest, stays.
+    Groups whose ids are all null keep one row in all.  Texts move once, keyed by id and fingerprint.
+    """
+    spare = "_fp"
+    while spare in docs.columns:
+        spare += "_"
+    names, at, schema = docs.columns, docs.columns.index(text_col), StructType([*docs.schema.fields, StructField(spare, StringType())])
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            filled = pc.fill_null(batch.column(at), "")
+            wide = pa.RecordBatch.from_arrays([*batch.columns, filled], names=[str(i) for i in range(len(names) + 1)])
+            for piece in pieces([wide], str(len(names))):
+                prints = [f"{p:016x}" for p in simhash(*flat(piece.column(len(names))), width).tolist()]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(prints, pa.string())], names=[*names, spare])
+
+    groups = simhash_groups(docs, id_col, text_col, width, max_bits)
+    chosen = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fingerprint").alias("_print"))
+    tagged = mapped(docs, run, schema)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")) & (F.col(spare) == F.col("_print"))
+    order = Window.partitionBy(f"`{id_col}`", spare).orderBy(F.xxhash64(f"`{text_col}`"), F.length(f"`{text_col}`"))
+    kept = tagged.join(chosen, same, "left_semi").withColumn("_place", F.row_number().over(order))
+    return kept.where("_place = 1").select(*[F.col(f"`{c}`") for c in names])

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from wardsift.llm.frames import Batches, mapped, record, texts
+from wardsift.llm.frames import Batches, mapped, record, rows_where, texts
 from wardsift.llm.text_arrays import byte_sums, flat, pieces, row_of, shingles, span_hash, words, IS_SPACE
 
 #: The symbol characters that are counted.
@@ -53,6 +53,18 @@ def quality_rules(
     return mapped(texts(docs, id_col, text_col), run, SCHEMA.format(id=kind)).withColumnRenamed("id", id_col)
 
 
+def drop_rejected(
+    docs: DataFrame,
+    text_col: str = "text",
+    min_repeat: int = 10,
+    max_covered: float = 0.45,
+    max_repeat: int = 100,
+    max_symbols: float = 0.3,
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    return rows_where(docs, text_col, lambda c: _judge(*flat(c), min_repeat, max_covered, max_repeat, max_symbols)["kept"])
+
+
 def _judge(data: np.ndarray, offsets: np.ndarray, min_repeat: int, max_covered: float, max_repeat: int, max_symbols: float) -> dict:
     rows = len(offsets) - 1
     starts, ends, first = words(data, offsets)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardsift.llm.frames import Batches, mapped, record, texts, written
 from wardsift.llm.text_arrays import flat, pieces
 
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 1 << 22
 BUCKET_BYTES = 1 << 22
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 
@@ -71,13 +71,14 @@ def bucket_bits(packed: DataFrame) -> int:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Values as planes of 16 bits: the high planes of sorted or small values compress to almost nothing."""
-    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint16).reshape(-1, 4).T).tobytes()
+    """Values as compressed planes of 16 bits: the high planes of sorted or small values take almost no room."""
+    raw = np.ascontiguousarray(values.astype(np.uint64).view(np.uint16).reshape(-1, 4).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    parts = np.frombuffer(data, np.uint16).reshape(4, -1)
-    return np.ascontiguousarray(parts.T).view(np.uint64).ravel()
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint16).reshape(4, -1).T).view(np.uint64).ravel()
 
 
 REQUESTS = "bucket long, kind int, chunk long, keys binary, facts binary"
@@ -102,30 +103,39 @@ def requests(chunk: int, kind: int, keys: np.ndarray, facts: np.ndarray, bits: i
         )
 
 
-def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+#: Chunk number of the rows that sum up a bucket.
+SUMMARY = -1
+
+
+def answer(
+    asked: DataFrame,
+    reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+    summary: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
     """(``chunk``, ``kind``, ``bucket``, ``reply``) for request rows.
 
     ``reply(group, facts, chunk)`` sees all keys of a bucket: ``group`` numbers the distinct keys, ``chunk`` tells who
-    asks.  It returns one 64-bit value per requested key.
+    asks.  It returns one 64-bit value per requested key.  ``summary(keys, replies)`` adds a row of chunk ``SUMMARY`` with
+    its values over the distinct keys of the bucket.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys = [from_planes(k) for k in rows["keys"]]
         facts = np.concatenate([from_planes(f) for f in rows["facts"]])
-        ends = np.cumsum([len(k) for k in keys])
-        _, group = np.unique(np.concatenate(keys), return_inverse=True)
-        chunk = np.repeat(rows["chunk"].to_numpy(), [len(k) for k in keys])
-        parts = np.split(reply(group, facts, chunk), ends[:-1])
-        return pd.DataFrame(
-            {"chunk": rows["chunk"], "kind": rows["kind"], "bucket": rows["bucket"], "reply": [planes(p) for p in parts]}
-        )
+        sizes = [len(k) for k in keys]
+        distinct, at, group = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        replies = reply(group, facts, np.repeat(rows["chunk"].to_numpy(), sizes))
+        out = [(c, planes(p)) for c, p in zip(rows["chunk"], np.split(replies, np.cumsum(sizes)[:-1]))]
+        if summary:
+            out.append((SUMMARY, planes(summary(distinct, replies[at]))))
+        return pd.DataFrame({"chunk": [c for c, _ in out], "kind": key[1], "bucket": key[0], "reply": [r for _, r in out]})
 
     return asked.groupBy("bucket", "kind").applyInPandas(run, "chunk long, kind int, bucket long, reply binary")
 
 
 def with_replies(packed: DataFrame, replies: DataFrame) -> DataFrame:
     """Chunks with ``replies``: a list of (kind, bucket, reply), no longer than the chunk's own distinct keys."""
-    own = replies.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "reply"))).alias("replies"))
+    own = replies.where(F.col("chunk") != SUMMARY).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "reply"))).alias("replies"))
     return packed.join(own, "chunk", "left")
 
 

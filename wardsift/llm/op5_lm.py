@@ -12,12 +12,11 @@ statistics are rows (context count, pair count, word count, how many), summed by
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardsift.llm.frames import Batches, mapped, record, written
-from wardsift.llm.packed import REQUESTS, answer, bucket_bits, chunks_of, from_planes, pack, replies_of, requests, with_replies
+from wardsift.llm.packed import REQUESTS, SUMMARY, answer, bucket_bits, chunks_of, from_planes, pack, replies_of, requests, with_replies
 from wardsift.llm.text_arrays import LOWER, flat, mix, word_hashes, words
 
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -110,9 +109,9 @@ def interpolated_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield from requests(chunk, 1, *_count(keys, np.concatenate([folds, folds[starts]])), bits)
             yield from requests(chunk, 2, *_count(_pairs(before, token), folds), bits)
 
-    asked = written(mapped(packed, ask, REQUESTS))
-    replies = written(answer(asked, _sum_group))
-    n_kept, n_all, types = _training_size(asked)
+    replies = written(answer(mapped(packed, ask, REQUESTS), _sum_group, _training_size))
+    sums = replies.where((F.col("chunk") == SUMMARY) & (F.col("kind") == 1)).select("reply").toLocalIterator()
+    n_kept, n_all, types = (int(n) for n in sum((from_planes(r[0]) for r in sums), np.zeros(3, np.uint64)))
     chunks = with_replies(packed, replies)
     weights = _learn(chunks, n_kept, types, passes)
 
@@ -152,19 +151,10 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
 
 
-def _training_size(asked: DataFrame) -> tuple[int, int, int]:
-    """Retained tokens, all training tokens, and distinct training tokens."""
-
-    def run(key, rows):
-        keys = np.concatenate([from_planes(k) for k in rows["keys"]])
-        facts = np.concatenate([from_planes(f) for f in rows["facts"]])
-        facts, keys = facts[keys != START], keys[keys != START]
-        seen = _all(facts) > 0
-        return pd.DataFrame({"kept": [int(_retained(facts).sum())], "every": [int(_all(facts).sum())], "types": [len(np.unique(keys[seen]))]})
-
-    per_bucket = asked.where("kind = 1").groupBy("bucket").applyInPandas(run, "kept long, every long, types long")
-    row = per_bucket.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("kept", "every", "types")]).first()
-    return tuple(row)
+def _training_size(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Retained tokens, all training tokens, and distinct training tokens of a bucket."""
+    counts = counts[keys != START]
+    return np.array([_retained(counts).sum(), _all(counts).sum(), np.count_nonzero(_all(counts))], np.uint64)
 
 
 def _learn(chunks: DataFrame, n_kept: int, types: int, passes: int) -> np.ndarray:

@@ -9,6 +9,7 @@ from wardsift.llm.op1_decontamination import contaminated
 from wardsift.llm.op10_language import identify, train
 from wardsift.llm.op2_simhash import simhash_groups
 from wardsift.llm.op3_licenses import NOTICES, license_matches
+from wardsift.llm.op4_suffixes import suffix_digests
 from wardsift.llm.op5_lm import interpolated_scores
 from wardsift.llm.op6_substrings import substring_digests
 from wardsift.llm.op7_warc import archive_pages
@@ -71,6 +72,11 @@ def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return license_matches(documents(spark, sf))
 
 
+@query("op4_suffixes")
+def op4_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_digests(documents(spark, sf))
+
+
 @query("op5_lm")
 def op5_lm(spark: SparkSession, sf: str) -> DataFrame:
     return interpolated_scores(documents(spark, sf))

@@ -14,16 +14,21 @@ from wardsift.operators.annotation import (
     per_batch,
     per_text,
     probe_cache,
-    request_table,
+    build_requests,
+    request_body,
     split_quarantine,
     unpack_responses,
     value_rules,
     with_cache_key,
 )
 
+from wardsift.plans.escalate import ALLOWED_VALUES, PROMPT as PROMPT_TEXT
+from wardsift.schemas import RESPONSE_TEXT
+
 from .registry import query
 from .views import SQL_DOCS, SQL_SIGNALS, docs, raw_responses, reports, signals
 
+RECORD_SCHEMA = RESPONSE_TEXT.simpleString()
 PROMPT, NAMESPACE = "Assess the report. ", "escalation_check"
 
 SQL_KEYED = f"""keyed AS (SELECT *, sha256('{PROMPT}' || report_text || '{NAMESPACE}') AS cache_key FROM docs)"""
@@ -92,19 +97,20 @@ def value_rules_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "list_parse",
-    f"""WITH {SQL_SIGNALS}, forms AS (SELECT case_id, case_id % 5 AS form, risk_factors AS l FROM signals),
-parsed AS (SELECT case_id, CASE WHEN form IN (0, 1) THEN l WHEN form = 2 AND len(l) >= 2 THEN l ELSE [] END AS l FROM forms)
+    f"""WITH {SQL_SIGNALS}, forms AS (SELECT case_id, case_id % 6 AS form, risk_factors AS l FROM signals),
+parsed AS (SELECT case_id, CASE WHEN form IN (0, 1) THEN l WHEN form = 5 THEN l || ['say None, ', NULL, 'True'] WHEN form = 2 AND len(l) >= 2 THEN l ELSE [] END AS l FROM forms)
 SELECT case_id, array_to_string(l, '|') AS parsed, CAST(len(l) AS BIGINT) AS n FROM parsed""",
 )
 def list_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """List texts as single-quoted literal, JSON, comma text, broken literal, blank."""
-    form, items = F.col("case_id") % 5, F.col("risk_factors")
+    """List texts as single-quoted literal, JSON, comma text, broken literal, blank, literal with constants."""
+    form, items = F.col("case_id") % 6, F.col("risk_factors")
     quoted = F.transform(items, lambda i: F.concat(F.lit("'"), i, F.lit("'")))
     text = (
         F.when(form == 0, F.concat(F.lit("["), F.concat_ws(", ", quoted), F.lit("]")))
         .when(form == 1, F.to_json(items))
         .when(form == 2, F.concat_ws(" , ", items))
         .when(form == 3, F.concat(F.lit("["), F.concat_ws(" ", quoted)))
+        .when(form == 5, F.concat(F.lit("["), F.concat_ws(", ", F.concat(quoted, F.array(F.lit("'say None, ', None, True")))), F.lit("]")))
         .otherwise(F.lit("   "))
     )
     parsed = signals(spark, sf).select("case_id", text.alias("t")).withColumn("l", parse_list_text("t"))
@@ -149,14 +155,16 @@ def cache_hit_miss(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-SQL_NUMBERED = """numbered AS (SELECT cache_key, report_text, substr(cache_key, 1, 1) AS bucket,
-  row_number() OVER (PARTITION BY substr(cache_key, 1, 1) ORDER BY cache_key) - 1 AS rn FROM misses),
+BUCKETS = 64
+
+SQL_NUMBERED = f"""bucketed AS (SELECT *, CAST('0x' || substr(cache_key, 1, 8) AS BIGINT) % {BUCKETS} AS bucket FROM misses),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY cache_key) - 1 AS rn FROM bucketed),
 batched AS (SELECT *, rn // 5 AS batch, rn % 5 AS pos FROM numbered)"""
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
     _, misses = _probe(spark, sf)
-    return request_table(misses, F.substring("cache_key", 1, 1))
+    return build_requests(misses, BUCKETS)
 
 
 @query(
@@ -177,6 +185,20 @@ def batch_requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "batch_request_bodies",
+    f"""WITH {SQL_DOCS}, {SQL_KEYED}, {SQL_CACHE}, {SQL_NUMBERED},
+items AS (SELECT bucket, batch, to_json(list({{'id': pos, 'text': report_text}} ORDER BY pos)) AS texts FROM batched GROUP BY bucket, batch)
+SELECT bucket, batch, sha256(concat_ws(chr(10), '{{0}}', 'JSON schema:', '{{1}}', '{{2}}', 'Reports:', texts)) AS request_sha FROM items""".replace(
+        "{0}", PROMPT_TEXT.replace("'", "''")
+    ).replace("{1}", RECORD_SCHEMA.replace("'", "''")).replace("{2}", ALLOWED_VALUES.replace("'", "''")),
+)
+def batch_request_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole requests: instructions, record schema, allowed values and the texts of a batch."""
+    whole = request_body(_requests(spark, sf), PROMPT_TEXT, RECORD_SCHEMA, ALLOWED_VALUES)
+    return whole.select("bucket", "batch", F.sha2("request", 256).alias("request_sha"))
+
+
 @query(
     "batch_unpack",
     f"""WITH {SQL_DOCS}, {SQL_KEYED}, {SQL_CACHE}, {SQL_NUMBERED},

@@ -24,7 +24,8 @@ from .registry import query
 from .splits import SPEC, training_rows
 from .views import docs, truth
 
-SEARCH_SPLITS = 5
+SEARCH_SPLITS = 30
+SHUFFLE_SPLITS = 50
 FOLDS = 5
 
 
@@ -46,7 +47,7 @@ def logreg_group_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("logreg_group_cv_summary")
 def logreg_group_cv_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return group_cross_validation(training_rows(spark, sf), "group_shuffle", FOLDS).summary
+    return group_cross_validation(training_rows(spark, sf), "group_shuffle", SHUFFLE_SPLITS).summary
 
 
 @query("logreg_grid")

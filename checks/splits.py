@@ -23,6 +23,7 @@ from .registry import query
 from .views import SQL_SIGNALS, docs, labelled_signals, truth
 
 SPEC = FeatureSpec()
+SHUFFLE_SPLITS = 30
 
 
 def _label() -> Column:
@@ -100,7 +101,7 @@ def split_stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL_SHUFFLE = """ranked AS (SELECT split_id, group_key, row_number() OVER (PARTITION BY split_id
     ORDER BY md5('group_shuffle|42|' || split_id || '|' || group_key)) AS rn, count(*) OVER (PARTITION BY split_id) AS n
-  FROM groups, range(1, 6) r(split_id)),
+  FROM groups, range(1, 31) r(split_id)),
 roles AS (SELECT CAST(split_id AS INTEGER) AS split_id, group_key,
   CASE WHEN rn <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS role FROM ranked)"""
 
@@ -109,7 +110,7 @@ roles AS (SELECT CAST(split_id AS INTEGER) AS split_id, group_key,
 
 @query("split_group_shuffle", f"WITH {SQL_SIGNALS}, {SQL_ROWS}, {SQL_SHUFFLE} SELECT split_id, group_key, role FROM roles")
 def split_group_shuffle(spark: SparkSession, sf: str) -> DataFrame:
-    return group_shuffle_splits(_group_table(spark, sf), 5)
+    return group_shuffle_splits(_group_table(spark, sf), SHUFFLE_SPLITS)
 
 
 @query(
@@ -120,7 +121,7 @@ SELECT split_id, role, label, n, round(n / sum(n) OVER (PARTITION BY split_id, r
 )
 def split_class_shares(spark: SparkSession, sf: str) -> DataFrame:
     rows = cut_lineage(with_signature(training_rows(spark, sf), SPEC.columns).select("case_id", "label", "group_key"))
-    return rounded(class_shares(assign_roles(rows, group_shuffle_splits(group_sizes(rows), 5))))
+    return rounded(class_shares(assign_roles(rows, group_shuffle_splits(group_sizes(rows), SHUFFLE_SPLITS))))
 
 
 @query(

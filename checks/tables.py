@@ -130,7 +130,7 @@ def runs_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _write_dialect(df: DataFrame, path: str, delimiter: str) -> None:
-    df.coalesce(1).write.option("header", True).option("sep", delimiter).option("encoding", "ISO-8859-1").csv(path)
+    df.write.option("header", True).option("sep", delimiter).option("encoding", "ISO-8859-1").csv(path)
 
 
 @query(

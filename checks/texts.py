@@ -72,6 +72,9 @@ def _lengths(spark: SparkSession, sf: str) -> DataFrame:
     return cut_lineage(measured.select("case_id", "domain", "n_chars", "n_words"))
 
 
+SQL_TRIM = r"^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$"
+
+
 @query(
     "text_metrics",
     f"""WITH {SQL_DOCS}, {SQL_METRICS}
@@ -165,15 +168,17 @@ def sanity(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "text_hashes",
     rf"""WITH {SQL_DOCS}
-SELECT case_id, sha256(regexp_replace(lower(report_text), '^\s+|\s+$', '', 'g')) AS text_hash FROM docs""",
+SELECT case_id, sha256(regexp_replace(lower(report_text), '{SQL_TRIM}', '', 'g')) AS text_hash FROM docs""",
 )
 def text_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("case_id", text_hash("report_text").alias("text_hash"))
+    """Every fourth text gets white space beyond ASCII around it, which does not change its hash."""
+    padded = F.when(F.col("case_id") % 4 == 0, F.concat(F.lit("  "), "report_text", F.lit("  "))).otherwise(F.col("report_text"))
+    return docs(spark, sf).select("case_id", text_hash(padded).alias("text_hash"))
 
 
 @query(
     "duplicate_rate",
-    rf"""WITH {SQL_DOCS}, hashed AS (SELECT sha256(regexp_replace(lower(report_text), '^\s+|\s+$', '', 'g')) AS h FROM docs)
+    rf"""WITH {SQL_DOCS}, hashed AS (SELECT sha256(regexp_replace(lower(report_text), '{SQL_TRIM}', '', 'g')) AS h FROM docs)
 SELECT count(*) AS n_rows, count(DISTINCT h) AS n_distinct, round(1 - count(DISTINCT h) / count(*), 6) AS duplicate_rate FROM hashed""",
 )
 def duplicates(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wardsift.functions.signals import confidence_derived
 from wardsift.functions.text import has_digit, words
 from wardsift.operators.frames import compute_once
-from wardsift.session import spread_small_input
 
 LEXICON = {
     "abuse": ["trash", "idiot", "clown", "scum", "worthless"],
@@ -23,7 +22,7 @@ LEXICON_WORDS = sorted(w for ws in LEXICON.values() for w in ws)
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     clarity = F.when(F.substring("source", 4, 10).cast("int") % 2 == 0, F.lit("clear")).otherwise(F.lit("ambiguous"))
-    table = spread_small_input(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    table = spark.read.parquet(f"{sf}/documents.parquet")
     return table.select(
         F.col("doc_id").alias("case_id"),
         F.col("text").alias("report_text"),

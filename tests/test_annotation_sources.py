@@ -88,7 +88,7 @@ def test_probe_asks_for_each_missing_text_once(spark):
 
 def test_requests_and_responses(spark):
     _, misses = probe_cache(_keyed(spark), spark.createDataFrame([], "cache_key string, raw_json string"))
-    requests = build_requests(misses, bucket_rows=8).cache()
+    requests = build_requests(misses, 3).cache()
     assert all(len(r["cache_keys"]) <= 5 for r in requests.collect())
     assert sum(len(r["cache_keys"]) for r in requests.collect()) == 17
     body = request_body(requests, "do it", "{}", "allowed").first()["request"]

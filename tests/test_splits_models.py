@@ -307,3 +307,46 @@ def test_shortcut_probe(spark, signals):
         ["n_words", "n_chars", "n_sentences", "digit_ratio", "upper_ratio", "punct_ratio"])])
     r = shortcut_probe(metrics).first()
     assert r["n_folds"] == 5 and 0 < r["f1_mean"] < 1 and r["f1_std"] >= 0
+
+
+def _small_training(spark):
+    rows = [(i, 0.1 * (i % 7), i % 3, i % 2, "low" if i % 4 else "high", "medium", "clear", "en", int((i * 7) % 5 > 2)) for i in range(60)]
+    return spark.createDataFrame(
+        rows,
+        "case_id long, confidence double, n_risk_factors long, n_missing_information long, severity string, "
+        "uncertainty_level string, clarity string, domain string, label int",
+    )
+
+
+def test_a_fit_that_stops_early_raises_or_is_flagged(spark):
+    from wardsift.operators.joint_fit import JointModel, fit_jointly
+    from wardsift.operators.models import ModelConfig, coefficient_table
+    from wardsift.operators.validation import holdout_training_set
+
+    data = holdout_training_set(_small_training(spark))
+    models = [JointModel(ModelConfig(max_iter=1), 1), JointModel(ModelConfig(), 1)]
+    with pytest.raises(ValueError, match="1 models have not converged"):
+        fit_jointly(data.table, data.spec, data.split_ids, models)
+    short, whole = fit_jointly(data.table, data.spec, data.split_ids, models, strict=False)
+    assert (short.converged, short.passes) == (False, 1) and whole.converged and whole.passes > 1
+    flags = {r.config_id: r.converged for r in coefficient_table(spark, {(0, 1): short, (1, 1): whole}).collect()}
+    assert flags == {0: False, 1: True}
+
+
+def test_null_features_and_too_many_levels_are_named(spark):
+    from pyspark.sql import functions as F
+
+    from wardsift.operators.features import FeatureSpec, check_features, fit_preprocessor
+    from wardsift.operators.joint_fit import JointModel, fit_jointly
+    from wardsift.operators.models import ModelConfig
+    from wardsift.operators.validation import holdout_training_set
+
+    rows = _small_training(spark).withColumn("confidence", F.when(F.col("case_id") != 5, F.col("confidence")))
+    data = holdout_training_set(rows)
+    with pytest.raises(ValueError, match="confidence"):
+        fit_jointly(data.table, data.spec, data.split_ids, [JointModel(ModelConfig(), 1)])
+    with pytest.raises(ValueError, match="confidence"):
+        fit_preprocessor(rows.withColumn("weight", F.lit(1)))
+    wide = _small_training(spark).withColumn("domain", F.col("case_id").cast("string"))
+    with pytest.raises(ValueError, match="domain"):
+        check_features(wide, FeatureSpec(), 10)

@@ -10,6 +10,10 @@ from ..schemas import RESPONSE_TEXT
 CONFIDENCE_BY_UNCERTAINTY = {"low": 0.85, "medium": 0.6, "high": 0.3}
 
 
+# A quoted part of a list literal, with backslash escapes.
+QUOTED = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+\""""
+
+
 def _col(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -26,13 +30,19 @@ def cache_key(text: Column | str, prompt: str, namespace: str, extra: str = "")
 def parse_list_text(value: Column | str) -> Column:
     """Text form of a list as an array of strings.
 
-    ``[...]`` is read as a list literal (an unreadable one gives an empty list); otherwise the
-    text is split on commas and trimmed; a single word without a comma, a blank or null is empty.
+    ``[...]`` is read as a list literal (an unreadable one gives an empty list; ``None`` is a null element, ``True``
+    and ``False`` are texts); otherwise the text is split on commas and trimmed; a single word without a comma, a blank or null is empty.
     """
     text = _col(value)
     is_literal = text.startswith("[") & text.endswith("]")
+    # Quoted parts are matched first and kept, so that only constants outside of them are replaced.
+    plain = F.regexp_replace(text, r",\s*\]$", "]")
+    for constant, json_text in (("None", "null"), ("True", '"True"'), ("False", '"False"')):
+        parts = F.regexp_extract_all(plain, F.lit(rf"(?s){QUOTED}|\b{constant}\b|."), F.lit(0))
+        replaced = F.array_join(F.transform(parts, lambda p: F.when(p == constant, F.lit(json_text)).otherwise(p)), "")
+        plain = F.when(text.contains(constant), replaced).otherwise(plain)
     literal = F.from_json(
-        F.regexp_replace(text, r",\s*\]$", "]"),
+        plain,
         "array<string>",
         {"allowBackslashEscapingAnyCharacter": "true"},
     )

@@ -93,4 +93,4 @@ def char_ratio(count: str, n_chars: str = "n_chars") -> Column:
 
 def text_hash(text: Column | str) -> Column:
     """SHA-256 of the lowercased text without surrounding white space."""
-    return F.sha2(F.regexp_replace(F.lower(_text(text)), r"^\s+|\s+$", ""), 256)
+    return F.sha2(F.regexp_replace(F.lower(_text(text)), rf"^[{SPACE_CHARS}]+|[{SPACE_CHARS}]+$", ""), 256)

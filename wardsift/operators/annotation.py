@@ -17,9 +17,12 @@ from ..functions.signals import (
     response_action,
     response_confidence,
 )
+from ..session import cut_lineage
 from .frames import compute_once
 
 BATCH_SIZE = 5
+#: Missing keys (about 100 bytes each) that are sent to the texts instead of moving the texts.
+BROADCAST_KEYS = 200_000
 Annotator = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -38,29 +41,34 @@ def latest_responses(cache: DataFrame) -> DataFrame:
 def probe_cache(keyed: DataFrame, cache: DataFrame, key: str = "case_id") -> tuple[DataFrame, DataFrame]:
     """``(hits, misses)``: keyed rows with their stored response, and the texts still to annotate.
 
-    The search runs on keys alone: distinct keys (counted together before the shuffle, so a text
-    copied a million times is one row per task) are compared with the stored keys, and only the
-    texts of one row per missing key are fetched.
+    The search runs on keys alone: hits carry no text, distinct keys (counted together before the
+    shuffle, so a text copied a million times is one row per task) are compared with the stored keys, and one
+    row per missing key is written once.  Its text is then picked from the input: a list of up to
+    ``BROADCAST_KEYS`` rows goes to the texts, so that none of them moves; beyond it the texts are shuffled by key.
     """
     stored = latest_responses(cache)
-    hits = keyed.join(stored, "cache_key")
-    missing = (
-        keyed.groupBy("cache_key")
-        .agg(F.min(key).alias(key))
-        .join(stored.select("cache_key"), "cache_key", "left_anti")
+    keys = compute_once(keyed, {"cache_key": F.col("cache_key")})
+    hits = keys.drop("report_text").join(stored, "cache_key")
+    missing = cut_lineage(
+        keys.groupBy("cache_key").agg(F.min(key).alias(key)).join(stored.select("cache_key"), "cache_key", "left_anti")
     )
-    misses = keyed.select(key, "cache_key", "report_text").join(missing, [key, "cache_key"], "left_semi")
+    wanted = F.broadcast(missing) if missing.count() <= BROADCAST_KEYS else missing
+    misses = keys.select(key, "cache_key", "report_text").join(wanted, [key, "cache_key"], "left_semi")
     return hits, misses.select("cache_key", "report_text")
 
 
-def build_requests(misses: DataFrame, bucket_rows: int = 50_000, batch_size: int = BATCH_SIZE, rows: int | None = None) -> DataFrame:
-    """Group texts into request batches: ``(bucket, batch, texts_json)``.
+def request_bucket(num_buckets: int, key: str = "cache_key") -> Column:
+    """Bucket of a key: the number of its first eight hex digits, modulo ``num_buckets``."""
+    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint"), F.lit(num_buckets))
 
-    Batches are formed inside hash buckets of the key, so no task numbers the whole table.
-    ``rows`` (an estimate is enough) sets the number of buckets; without it misses are counted.
+
+def build_requests(misses: DataFrame, num_buckets: int, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """Group texts into request batches: ``(bucket, batch, cache_keys, texts_json)``.
+
+    Batches are formed inside hash buckets of the key, so no task numbers the whole table.  Which texts share a request
+    depends on their keys and ``num_buckets`` alone; a bucket should hold some 10,000 texts.
     """
-    buckets = max(1, -(-(rows if rows is not None else misses.count()) // bucket_rows))
-    return request_table(misses, F.pmod(F.xxhash64("cache_key"), F.lit(buckets)), batch_size)
+    return request_table(misses, request_bucket(num_buckets), batch_size)
 
 
 def request_table(misses: DataFrame, bucket: Column, batch_size: int = BATCH_SIZE) -> DataFrame:

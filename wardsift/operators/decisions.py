@@ -10,6 +10,7 @@ from ..functions.labels import error_type, label_text
 from ..functions.rules import Dictionary, RED_FLAGS, Signals, decision, dictionary_hits, keywords_found
 from .frames import compute_once
 
+# Columns of the error profile.
 PROFILE_COLUMNS = (
     "domain",
     "clarity",

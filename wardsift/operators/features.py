@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
 CONSTANT = "_const"
+MOST_LEVELS = 1000
 
 
 @dataclass(frozen=True)
@@ -94,6 +95,25 @@ def compress_patterns(
     return df.groupBy(*spec.columns, label_col, *keep).agg(F.count(F.lit(1)).alias("weight"))
 
 
+def check_features(table: DataFrame, spec: FeatureSpec, most_levels: int) -> None:
+    """Reject null numeric features and category columns with too many levels, naming the columns.
+
+    Levels become model columns, and the tables of a fit grow with their square; counts come first, so that an
+    unsuitable column is never collected.
+    """
+    row = table.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in spec.numeric],
+        *[F.approx_count_distinct(c).alias(f"_levels_{c}") for c in spec.categorical],
+        F.count(F.lit(1)).alias("_n"),
+    ).first()
+    nulls = {c: row[f"_null_{c}"] for c in spec.numeric if row[f"_null_{c}"]}
+    if nulls:
+        raise ValueError(f"numeric features with nulls (rows): {nulls}")
+    wide = {c: row[f"_levels_{c}"] for c in spec.categorical if row[f"_levels_{c}"] > most_levels}
+    if wide:
+        raise ValueError(f"category columns with more than {most_levels} levels (about): {wide}")
+
+
 def preprocessing_stats(train: DataFrame, spec: FeatureSpec, by: Sequence[str] = (), weight_col: str = "weight") -> DataFrame:
     """Weighted mean, population deviation and sorted categories per group, in two aggregations.
 
@@ -126,6 +146,7 @@ def fit_preprocessors(
 
     What comes to the driver is a mean, a deviation and the categories per feature and split.
     """
+    check_features(train, spec, MOST_LEVELS)
     rows = preprocessing_stats(train, spec, [by] if by else [], weight_col).collect()
     return {
         (row[by] if by else None): Preprocessor(

@@ -18,12 +18,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from .features import FeatureSpec, Preprocessor
+from .features import MOST_LEVELS, FeatureSpec, Preprocessor, check_features
 from .models import FittedModel, ModelConfig
 
-MAX_STEPS = 100
+TOLERANCE = 1e-12
+#: Inner proximal steps per pass.  A model whose inner steps have not settled is never taken as done: its
+#: next pass over the data goes on from where they got to.
 PROXIMAL_STEPS = 3000
-TOLERANCE = 1e-9
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,7 @@ class Design:
 
     @staticmethod
     def of(table: DataFrame, spec: FeatureSpec) -> "Design":
+        check_features(table, spec, MOST_LEVELS)
         row = table.agg(
             F.count(F.lit(1)).alias("_n"),
             *[F.avg(c).alias(f"_mean_{c}") for c in spec.numeric],
@@ -138,8 +140,8 @@ def _loss_terms(
 
 
 def _penalised_step(beta, gradient, hessian, l1, l2, free):
-    """Minimiser of the quadratic model plus penalty, per model."""
-    step = np.zeros_like(beta)
+    """Minimiser of the quadratic model plus penalty, per model, and whether it has settled."""
+    step, settled = np.zeros_like(beta), np.ones(len(beta), dtype=bool)
     smooth = gradient + l2 * beta
     curved = hessian + np.einsum("mi,ij->mij", l2, np.eye(beta.shape[1]))
     fixed = ~free
@@ -152,8 +154,8 @@ def _penalised_step(beta, gradient, hessian, l1, l2, free):
         step[plain] = -np.linalg.solve(curved[plain], smooth[plain][:, :, None])[:, :, 0]
     rest = np.flatnonzero(~plain)
     if len(rest):
-        step[rest] = _accelerated(beta[rest], smooth[rest], curved[rest], l1[rest], free[rest])
-    return step
+        step[rest], settled[rest] = _accelerated(beta[rest], smooth[rest], curved[rest], l1[rest], free[rest])
+    return step, settled
 
 
 def _accelerated(beta, smooth, curved, l1, free):
@@ -177,7 +179,7 @@ def _accelerated(beta, smooth, curved, l1, free):
         step, momentum = new, following
         if np.max(np.abs(moved)) < 1e-11:
             break
-    return step
+    return step, np.abs(moved).max(axis=1) < 1e-8
 
 
 def fit_jointly(
@@ -186,9 +188,13 @@ def fit_jointly(
     split_ids: Sequence[int],
     models: Sequence[JointModel],
     scale: bool = True,
+    strict: bool = True,
 ) -> list[FittedModel]:
     """Fit all models over ``table`` (features, ``label``, ``weight``, ``inner``, ``test_in``).
 
+    A model takes at most ``max_iter`` passes of its configuration.  One that has not converged by then raises an
+    error; with ``strict=False`` it is returned with ``converged`` false.
+
     Each model minimises ``C * sum of weighted log losses + penalty`` on its own train side, with
     its own scaling and categories.  ``scale=False`` uses the features as they are.
     """
@@ -244,8 +250,11 @@ def fit_jointly(
     best, best_value = beta.copy(), np.full(len(models), np.inf)
     step = np.zeros_like(beta)
     active = np.arange(len(models))
-    for _ in range(MAX_STEPS):
+    allowed = np.array([m.config.max_iter for m in models])
+    converged, passes = np.zeros(len(models), dtype=bool), np.zeros(len(models), dtype=int)
+    while len(active := active[passes[active] < allowed[active]]):
         a = active
+        passes[a] += 1
         in_design = np.einsum("mi,mij->mj", beta[a], to_scaled[a])
         loss, gradient, hessian = _loss_terms(rows, in_design, split_index[a], is_inner[a], factor[a])
         penalty = (l1[a] * np.abs(beta[a]) + 0.5 * l2[a] * beta[a] ** 2).sum(axis=1)
@@ -259,18 +268,20 @@ def fit_jointly(
         scaled_hessian = strength[good, None, None] * (
             to_scaled[good] @ hessian[~worse] @ to_scaled[good].transpose(0, 2, 1)
         )
-        step[good] = _penalised_step(best[good], scaled_gradient, scaled_hessian, l1[good], l2[good], free[good])
+        step[good], settled = _penalised_step(best[good], scaled_gradient, scaled_hessian, l1[good], l2[good], free[good])
         moved = best + step
         change = (scaled_gradient * step[good]).sum(axis=1) + (
             l1[good] * (np.abs(moved[good]) - np.abs(best[good])) + 0.5 * l2[good] * (moved[good] ** 2 - best[good] ** 2)
         ).sum(axis=1)
         done = np.zeros(len(models), dtype=bool)
-        done[good] = np.abs(change) <= TOLERANCE * (1.0 + np.abs(best_value[good]))
-        stuck = np.abs(step).max(axis=1) < 1e-14
-        beta = np.where((done & ~stuck)[:, None], moved, np.where(stuck[:, None], best, moved))
-        active = np.array([i for i in a if not (done[i] or stuck[i])], dtype=int)
-        if not len(active):
-            break
+        done[good] = settled & (np.abs(change) <= TOLERANCE * (1.0 + np.abs(best_value[good])))
+        done[a] |= np.abs(step[a]).max(axis=1) < 1e-14
+        beta = moved
+        converged |= done
+        active = a[~done[a]]
+    if strict and not converged.all():
+        left = [f"{m.config.describe()} on split {m.split_id}" for m, ok in zip(models, converged) if not ok]
+        raise ValueError(f"{len(left)} models have not converged within max_iter: {'; '.join(left[:5])}")
 
     fitted = []
     for i, m in enumerate(models):
@@ -281,5 +292,8 @@ def fit_jointly(
             categories[i],
         )
         kept = [j for j in range(const) if j < n_numeric or free[i, j]]
-        fitted.append(FittedModel(prep, m.config, float(beta[i, const]), tuple(float(beta[i, j]) for j in kept)))
+        weights = tuple(float(best[i, j]) for j in kept)
+        fitted.append(
+            FittedModel(prep, m.config, float(best[i, const]), weights, converged=bool(converged[i]), passes=int(passes[i]))
+        )
     return fitted

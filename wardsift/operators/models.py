@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .features import CONSTANT, FeatureSpec, Preprocessor
 
-ROWS_PER_TASK = 50_000
-
 
 @dataclass(frozen=True)
 class ModelConfig:
@@ -38,6 +36,8 @@ class FittedModel:
     intercept: float
     coefficients: tuple[float, ...]
     model: LogisticRegressionModel | None = None
+    converged: bool = True
+    passes: int = 0
 
     def coefficient_rows(self) -> list[tuple[str, float]]:
         return list(zip(self.preprocessor.feature_names, self.coefficients, strict=True))
@@ -64,7 +64,6 @@ def fit_logistic(
     config: ModelConfig = ModelConfig(),
     label_col: str = "label",
     weight_col: str = "weight",
-    rows: int | None = None,
 ) -> FittedModel:
     """Fit one model with MLlib.
 
@@ -96,7 +95,6 @@ def fit_logistic(
     if config.penalise_intercept:
         mirror = table.select((F.lit(1.0) - F.col("label")).alias("label"), "weight", *[(-F.col(n)).alias(n) for n in names])
         table = table.unionByName(mirror)
-    tasks = max(1, -(-(rows or ROWS_PER_TASK) // ROWS_PER_TASK))
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(table).select("label", "weight", "features")
     learner = LogisticRegression(
         maxIter=config.max_iter,
@@ -107,10 +105,13 @@ def fit_logistic(
         weightCol="weight",
         tol=1e-9,
     )
-    model = learner.fit(vectors.coalesce(tasks) if rows else vectors)
+    model = learner.fit(vectors)
+    passes = model.summary.totalIterations
+    if passes >= config.max_iter:
+        raise ValueError(f"the fit has not converged within {config.max_iter} iterations")
     weights = [float(v) for v in model.coefficients]
     intercept = weights[-1] if config.penalise_intercept else float(model.intercept)
-    return FittedModel(preprocessor, config, intercept, tuple(weights[:-1]), model)
+    return FittedModel(preprocessor, config, intercept, tuple(weights[:-1]), model, True, passes)
 
 
 FIT_SCHEMA = T.StructType(
@@ -150,10 +151,10 @@ def score_fits(rows: DataFrame, fits: DataFrame, spec: FeatureSpec = FeatureSpec
 
 
 def coefficient_table(spark: SparkSession, fits: dict[tuple[int, int], FittedModel]) -> DataFrame:
-    """``(config_id, split_id, feature, coef)``, largest coefficient first per model."""
+    """``(config_id, split_id, feature, coef, converged, passes)``, largest coefficient first per model."""
     rows = [
-        (config, split, feature, coef)
+        (config, split, feature, coef, model.converged, model.passes)
         for (config, split), model in sorted(fits.items())
         for feature, coef in sorted(model.coefficient_rows(), key=lambda fc: (-fc[1], fc[0]))
     ]
-    return spark.createDataFrame(rows, "config_id int, split_id int, feature string, coef double")
+    return spark.createDataFrame(rows, "config_id int, split_id int, feature string, coef double, converged boolean, passes int")

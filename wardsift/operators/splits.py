@@ -199,8 +199,8 @@ def group_folds(
     rank = F.col("_before") + F.row_number().over(W.partitionBy("size", "_prefix").orderBy("h")) - 1
     ranked = drawn.join(offsets, ["size", "_prefix"]).withColumn("_rank", rank)
     fold = F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))) + 1
-    # One row per distinct size, at most sqrt(2N) of them.
-    return ranked.join(F.broadcast(dealt), "size").select(group_col, "size", fold.alias("fold"))
+    # One row per distinct size, at most sqrt(2N) of them: the optimizer broadcasts it by its size, or does not.
+    return ranked.join(dealt, "size").select(group_col, "size", fold.alias("fold"))
 
 
 def fold_roles(folds: DataFrame, n_folds: int, group_col: str = "group_key") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.labels import lenient_double
 
+# Columns and quantiles of the summaries.
 CV_COLUMNS = (
     "n_test",
     "part_test",

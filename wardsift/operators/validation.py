@@ -192,6 +192,7 @@ def result_table(metrics: DataFrame, prefix: str = "") -> DataFrame:
         "recall",
         "f1",
         "f2",
+        *[c for c in ("converged", "passes") if c in metrics.columns],
     )
 
 
@@ -230,5 +231,10 @@ def validate(data: TrainingSet, configs: Sequence[ModelConfig], metric: str = "f
         [(i, float(c.C), float(c.l1_ratio), str(c.class_weight)) for i, c in enumerate(configs)],
         "config_id int, C double, l1_ratio double, class_weight string",
     )
+    states = spark.createDataFrame(
+        [(*k, m.converged, m.passes) for k, m in fits.items()], "config_id int, split_id int, converged boolean, passes int"
+    )
+    # One row per configuration, and one per model.
     metrics = model_metrics(score_test(data, fits), best, data).join(F.broadcast(named), "config_id")
+    metrics = metrics.join(F.broadcast(states), MODEL_KEYS)
     return Validation(cut_lineage(metrics), sweep, fits)

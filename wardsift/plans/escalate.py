@@ -19,6 +19,7 @@ from ..operators.annotation import (
 )
 from ..operators.decisions import decide, error_profile, errors, match_rules
 from ..operators.evaluation import classification_report, confusion, with_binary_metrics
+from ..session import cut_lineage
 from ..sources.tables import append_cache, read_cache
 
 # Instructions to the annotator, allowed values and record schema.
@@ -87,7 +88,8 @@ def annotated_signals(
     # goes to quarantine like an unusable one.
     answers = latest_responses(read_cache(spark, cache_path))
     answered = keyed.drop("report_text").join(answers, "cache_key", "left")
-    return split_quarantine(normalize_responses(answered))
+    # Written once: both results start from it.
+    return split_quarantine(cut_lineage(normalize_responses(answered)))
 
 
 def escalate_by_annotator(

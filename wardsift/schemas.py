@@ -50,6 +50,7 @@ ESCALATE = "escalation"
 NO_ESCALATE = "no_escalation"
 LEVELS = ("low", "medium", "high")
 
+# Names of keys, model features and columns that are not trained on.
 SIGNAL_KEYS = ("case_id", "domain", "clarity")
 NUMERIC_FEATURES = ("confidence", "n_risk_factors", "n_missing_information")
 CATEGORICAL_FEATURES = ("severity", "uncertainty_level", "clarity", "domain")

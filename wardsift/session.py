@@ -17,6 +17,7 @@ def build_session(app_name: str = "wardsift", master: str | None = None, **conf:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -50,16 +51,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan that has fewer tasks than the session has slots.
-
-    A small file with a single row group is read by one task, which then does all the text work.
-    An input of many files has more tasks than slots and is returned as it is.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
-
-
 def ship_packages(spark: SparkSession, *folders: str) -> None:
     """Send Python packages to the workers, for runs where they are not installed there.
 

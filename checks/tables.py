@@ -135,13 +135,23 @@ def _write_dialect(df: DataFrame, path: str, delimiter: str) -> None:
 
 @query(
     "csv_dialect",
-    f"WITH {SQL_DOCS} SELECT case_id, domain, CAST(case_id AS DOUBLE) / 4 AS amount FROM docs",
+    f"""WITH {SQL_DOCS} SELECT case_id, CASE case_id % 5 WHEN 3 THEN 'x;"' || domain ELSE domain END AS domain,
+  CASE case_id % 5 WHEN 1 THEN NULL ELSE CAST(case_id AS DOUBLE) / 4 END AS amount FROM docs WHERE case_id % 5 <> 2""",
 )
 def csv_dialect(spark: SparkSession, sf: str) -> DataFrame:
-    """Semicolon file in Latin-1 with decimal commas; the delimiter is found from the header."""
+    """Semicolon file in Latin-1 with decimal commas, short, long and quoted lines; the delimiter is found from the header."""
     amount = F.regexp_replace((F.col("case_id") / 4).cast("string"), "[.]", ",")
+    kind = F.col("case_id") % 5
+    line = (
+        F.when(kind == 1, F.concat_ws(";", "case_id", "domain"))
+        .when(kind == 2, F.concat_ws(";", "case_id", "domain", amount, F.lit("")))
+        .when(kind == 3, F.concat_ws(";", "case_id", F.concat(F.lit('"x;""'), "domain", F.lit('"')), amount))
+        .otherwise(F.concat_ws(";", "case_id", "domain", amount))
+    )
     path = _folder(spark)
-    _write_dialect(docs(spark, sf).select("case_id", "domain", amount.alias("amount")), path, ";")
+    lines = docs(spark, sf).select(line.alias("case_id;domain;amount"))
+    raw = {"header": "true", "sep": "\x01", "quote": "", "escapeQuotes": "false", "encoding": "ISO-8859-1"}
+    lines.write.options(**raw).csv(path)
     return read_csv_dialect(spark, path, ["case_id", "amount"]).withColumn("case_id", F.col("case_id").cast("bigint"))
 
 

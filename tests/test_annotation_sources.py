@@ -291,3 +291,22 @@ def test_query_equals_its_sql(spark, name):
         assert node not in plan or (node == "MapInPandas" and name in PYTHON_ALLOWED), node
     ok, note = compare_frame(df, SF, name)
     assert ok, note
+
+
+def test_dialect_reader_gives_the_same_rows_for_any_projection(spark, tmp_path):
+    from wardsift.sources.reports import read_csv_dialect
+
+    (tmp_path / "a.csv").write_text('id;a;b\n1;x;2,5\n2;y\n3;x;1;surplus\n4;"q;""r";7\n5;x;1;\n6;;\n', encoding="latin-1")
+    (tmp_path / "b.csv").write_text("id;a;b\n7;\xe9;1\n", encoding="latin-1")
+    table = read_csv_dialect(spark, str(tmp_path), ["b"])
+    want = [("1", "x", 2.5), ("2", "y", None), ("4", 'q;"r', 7.0), ("6", None, None), ("7", "\xe9", 1.0)]
+    assert sorted(tuple(r) for r in table.collect()) == want
+    assert table.count() == 5
+    assert sorted(r[0] for r in table.select("id").collect()) == ["1", "2", "4", "6", "7"]
+    assert table.select("a").count() == 5 and table.where("b is null").count() == 2
+
+
+def test_list_literals_with_constants(spark):
+    texts = ["['a' , None]", "[True, 'None, x', False]", "[None", "['it\\'s None', None]"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_list_text("t").alias("l")).collect()
+    assert [r.l for r in rows] == [["a", None], ["True", "None, x", "False"], [], ["it's None", None]]

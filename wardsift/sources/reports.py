@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from urllib.parse import unquote
 
@@ -9,23 +10,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.labels import lenient_double
-from ..operators.frames import drop_columns
+from ..operators.frames import compute_once, drop_columns
 from ..schemas import ESCALATE, NO_ESCALATE, REPORTS, UNTRAINED_COLUMNS
 
 # Names of the known dataset versions, delimiters in order of preference, and the
 # id spellings that are unified when folders are read.
 DATASETS = ("v1 - ambiguous", "v1 - clear", "v2")
+ENCODING = "ISO-8859-1"
 DELIMITERS = ("\t", ";", ",")
 ID_SPELLINGS = {"Accident_Id": "Num_Acc", "accident_id": "Num_Acc"}
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType = REPORTS) -> DataFrame:
-    """CSV with header, quoted line breaks allowed; columns are taken by name from ``schema``."""
+def read_csv(
+    spark: SparkSession, paths: str | Sequence[str], schema: StructType = REPORTS, multi_line: bool = True
+) -> DataFrame:
+    """CSV with header; columns are taken by name from ``schema``.
+
+    ``multi_line`` allows quoted line breaks, for which one task reads a file; without it large files are split.
+    """
     return spark.read.csv(
         paths if isinstance(paths, str) else list(paths),
         schema=schema,
         header=True,
-        multiLine=True,
+        multiLine=multi_line,
         escape='"',
         enforceSchema=False,
     )
@@ -38,14 +45,14 @@ def read_reports(spark: SparkSession, version: str, registry: Mapping[str, str],
     return read_csv(spark, registry[version], schema)
 
 
-def read_runs(spark: SparkSession, paths: Sequence[str] | str, schema: StructType | None = None) -> dict[str, DataFrame]:
+def read_runs(spark: SparkSession, paths: Sequence[str] | str, schema: StructType | None = None, multi_line: bool = True) -> dict[str, DataFrame]:
     """One DataFrame per run file, each row marked with its ``run_id`` (the path).
 
     Without a schema all columns are read as text.
     """
     found = {}
     for path in [paths] if isinstance(paths, str) else paths:
-        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         df = reader.schema(schema).csv(path) if schema else reader.csv(path)
         found[path] = df.withColumn("run_id", F.lit(path))
     return found
@@ -69,14 +76,25 @@ def delimiter_of(header: str) -> str:
     raise ValueError(f"unknown delimiter in header: {header!r}")
 
 
-def _read_dialect(spark: SparkSession, paths: str | Sequence[str], delimiter: str) -> DataFrame:
-    return spark.read.csv(
-        paths if isinstance(paths, str) else list(paths),
-        sep=delimiter,
-        header=True,
-        encoding="ISO-8859-1",
-        mode="DROPMALFORMED",
-    )
+def _read_dialect(spark: SparkSession, paths: str | Sequence[str], header: str) -> DataFrame:
+    """Latin-1 lines as columns of texts named by ``header``.
+
+    A short line is filled with nulls, a line with more fields than the header is skipped, and so are lines
+    that repeat the header; an empty field is null.  All fields are parsed before any is chosen, so the rows do not depend
+    on the columns that are used.  Quoted fields may hold delimiters and doubled quotes, but no
+    line breaks; a line with an open quote is skipped.
+    """
+    delimiter = delimiter_of(header)
+    names = next(csv.reader([header], delimiter=delimiter))
+    # A mark after the last field tells how many fields there are, empty ones included.
+    fields, mark = [f"_{i}" for i in range(len(names) + 1)], "\x02"
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    lines = spark.read.option("encoding", ENCODING).text(paths if isinstance(paths, str) else list(paths))
+    lines = lines.where((F.col("value") != header) & (F.trim("value") != ""))
+    row = F.from_csv(F.concat("value", F.lit(delimiter + mark)), ", ".join(f"{f} string" for f in fields), options)
+    parsed = compute_once(lines, {"_row": row})
+    fits = F.array_contains(F.array(*[F.col("_row")[f] for f in fields]), mark)
+    return parsed.where(fits).select(*[F.nullif(F.col("_row")[f], F.lit(mark)).alias(n) for f, n in zip(fields, names)])
 
 
 def decimal_comma(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -85,8 +103,11 @@ def decimal_comma(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def read_csv_dialect(spark: SparkSession, path: str, numeric: Sequence[str] = ()) -> DataFrame:
-    """Latin-1 file with sniffed delimiter; malformed rows are skipped; ``numeric`` uses decimal commas."""
-    df = _read_dialect(spark, path, detect_delimiter(spark, path))
+    """Latin-1 file, or files with one header, with sniffed delimiter; ``numeric`` uses decimal commas."""
+    headers = set(header_lines(spark, path).values())
+    if len(headers) != 1:
+        raise ValueError(f"{len(headers)} different headers in {path}; use read_folder")
+    df = _read_dialect(spark, path, headers.pop())
     return decimal_comma(df, [c for c in numeric if c in df.columns])
 
 
@@ -110,20 +131,17 @@ def unify_ids(df: DataFrame, spellings: Mapping[str, str] = ID_SPELLINGS) -> Dat
     return df.withColumnsRenamed({old: new for old, new in spellings.items() if old in df.columns})
 
 
-def list_files(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of the files in a folder, from Spark's own file listing."""
-    return sorted(unquote(path) for path in spark.read.text(folder).inputFiles())
-
-
-def header_line(spark: SparkSession, path: str) -> str:
-    """First line of a file; only the start of the file is read."""
-    first = spark.read.option("encoding", "ISO-8859-1").text(path).limit(1).collect()
-    return first[0][0] if first else ""
-
-
-def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """Delimiter by the header line of a file."""
-    return delimiter_of(header_line(spark, path))
+def header_lines(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
+    """First line of every file below ``paths``, in one job; only a line per file and task is kept."""
+    lines = spark.read.option("encoding", ENCODING).text(paths if isinstance(paths, str) else list(paths))
+    numbered = lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("number"),
+    )
+    first = numbered.groupBy("path").agg(F.min_by("value", F.struct("block", "number")).alias("header"))
+    return {unquote(r["path"]): r["header"] for r in first.collect()}
 
 
 def read_folder(spark: SparkSession, folder: str, numeric: Sequence[str] = ()) -> DataFrame:
@@ -133,11 +151,11 @@ def read_folder(spark: SparkSession, folder: str, numeric: Sequence[str] = ()) -
     files; id spellings are unified and columns missing from a dialect are null.
     """
     by_header: dict[str, list[str]] = {}
-    for path in list_files(spark, folder):
-        by_header.setdefault(header_line(spark, path), []).append(path)
+    for path, header in sorted(header_lines(spark, folder).items()):
+        by_header.setdefault(header, []).append(path)
     out = None
     for header, paths in by_header.items():
-        df = unify_ids(fix_single_column(_read_dialect(spark, paths, delimiter_of(header))))
+        df = unify_ids(fix_single_column(_read_dialect(spark, paths, header)))
         df = decimal_comma(df, [c for c in numeric if c in df.columns])
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
@@ -151,12 +169,13 @@ def read_prepared(
     drop: Sequence[str] = UNTRAINED_COLUMNS,
     numeric: Sequence[str] = ("confidence", "n_risk_factors", "n_missing_information"),
     strict: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Processed signals for training: unused columns dropped, features as doubles, ``label`` 0/1.
 
     A truth text outside the two labels gives a null label here; evaluation rejects it.
     """
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     df = drop_columns(df, drop, strict)
     truth = F.col("expected_action")
     label = F.when(truth == ESCALATE, F.lit(1)).when(truth == NO_ESCALATE, F.lit(0))

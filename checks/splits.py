@@ -124,10 +124,7 @@ def split_class_shares(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(class_shares(assign_roles(rows, group_shuffle_splits(group_sizes(rows), SHUFFLE_SPLITS))))
 
 
-@query(
-    "split_group_kfold",
-    f"""WITH RECURSIVE {SQL_SIGNALS}, {SQL_ROWS},
-ordered AS (SELECT size, row_number() OVER (ORDER BY size DESC) AS i FROM groups),
+SQL_FOLDS = """ordered AS (SELECT size, row_number() OVER (ORDER BY size DESC) AS i FROM groups),
 dealt AS (
   SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS size, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS loads, CAST(0 AS BIGINT) AS fold
   UNION ALL
@@ -135,8 +132,13 @@ dealt AS (
          CAST(list_position(d.loads, list_min(d.loads)) AS BIGINT)
   FROM dealt d JOIN ordered o ON o.i = d.i + 1),
 places AS (SELECT size, fold, row_number() OVER (PARTITION BY size ORDER BY fold) AS r FROM dealt WHERE i > 0),
-members AS (SELECT size, group_key, row_number() OVER (PARTITION BY size ORDER BY md5('group_kfold|42|0|' || group_key)) AS r FROM groups)
-SELECT group_key, size, CAST(fold AS INTEGER) AS fold FROM members JOIN places USING (size, r)""",
+members AS (SELECT size, group_key, row_number() OVER (PARTITION BY size ORDER BY md5('group_kfold|42|0|' || group_key)) AS r FROM groups),
+folds AS (SELECT group_key, size, CAST(fold AS INTEGER) AS fold FROM members JOIN places USING (size, r))"""
+
+
+@query(
+    "split_group_kfold",
+    f"WITH RECURSIVE {SQL_SIGNALS}, {SQL_ROWS}, {SQL_FOLDS} SELECT group_key, size, fold FROM folds",
 )
 def split_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
     return group_folds(_group_table(spark, sf), 5)

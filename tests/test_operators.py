@@ -25,7 +25,7 @@ from wardsift.operators.decisions import (
     sorted_profile,
     with_label_texts,
 )
-from wardsift.operators.distribution import describe, describe_levels, describe_sketch, value_bin
+from wardsift.operators.distribution import describe, describe_levels, value_bin
 from wardsift.operators.evaluation import classification_report, confusion, with_binary_metrics
 from wardsift.operators.frames import (
     check_same_columns,
@@ -88,11 +88,6 @@ def test_describe_levels(numbers):
     )
 
 
-def test_describe_sketch_has_the_same_columns(numbers):
-    _, df = numbers
-    assert set(describe_sketch(df, ["v"], ["g"]).columns) == set(describe(df, ["v"], ["g"]).columns)
-
-
 def test_value_bin_never_decreases(spark):
     values = sorted(random.Random(2).lognormvariate(0, 8) * random.choice((-1, 1)) for _ in range(5000))
     bins = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(value_bin(F.col("v"))).collect()]

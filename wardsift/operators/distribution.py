@@ -1,9 +1,8 @@
 """Exact distribution summaries that never put one group into one task.
 
-Values are counted first (one shuffle of distinct values with map-side combine).  Each distinct
-value then gets an order-preserving bin; running counts over the small table of bins plus a
-window inside every bin give each value its exact rank range, so a percentile is a plain
-conditional maximum.  A group holding a third of all rows is spread over its bins.
+Values get an order-preserving bin and are counted per bin (map-side combine, a table that does not
+grow with the rows).  Running counts over the bins tell which of them hold a wanted rank, and only the values
+inside those are ranked.  A group holding a third of all rows is spread over its bins.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 QUARTILES = (0.25, 0.5, 0.75)
 TAILS = (0.01, 0.05, 0.5, 0.95, 0.99)
 BINS_PER_OCTAVE = 1024
@@ -33,25 +34,6 @@ def value_counts(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = ())
     return long.filter(F.col("value").isNotNull()).groupBy(*by, "metric", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def add_levels(counts: DataFrame, levels: Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:
-    """Repeat counted values once per grouping level; columns outside a level become null.
-
-    Works on counted values, so the repetition costs little compared with the rows behind them.
-    ``level`` names the columns of the level, ``overall`` for none.
-    """
-    variants = [
-        F.struct(
-            F.lit("+".join(level) or "overall").alias("level"),
-            *[(F.col(c) if c in level else F.lit(None).cast("string")).alias(c) for c in columns],
-        )
-        for level in levels
-    ]
-    spread = counts.select("metric", "value", "n", F.explode(F.array(*variants)).alias("v")).select(
-        "metric", "value", "n", "v.*"
-    )
-    return spread.groupBy("level", *columns, "metric", "value").agg(F.sum("n").alias("n"))
-
-
 def ranked_values(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counted values with ``first_rank`` (0-based), group size ``total`` and group mean.
 
@@ -95,20 +77,6 @@ def percentile_at(p: float) -> Column:
     return at(low) + (at(high) - at(low)) * F.max(position - low)
 
 
-def _summary(ranked: DataFrame, keys: Sequence[str], probs: Sequence[float], digits: int | None) -> DataFrame:
-    squares = F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), F.lit(2.0)))
-    count = F.sum("n")
-    out = {
-        "mean": F.max("mean"),
-        "std": F.when(count > 1, F.sqrt(squares / (count - 1))),
-        "min": F.min("value"),
-        **{percentile_name(p): percentile_at(p) for p in probs},
-        "max": F.max("value"),
-    }
-    rounded = [(F.round(c, digits) if digits is not None else c).alias(name) for name, c in out.items()]
-    return ranked.groupBy(*keys).agg(count.alias("count"), *rounded)
-
-
 def describe(
     df: DataFrame,
     metrics: Sequence[str],
@@ -117,8 +85,7 @@ def describe(
     digits: int | None = 3,
 ) -> DataFrame:
     """Count, mean, sample standard deviation, min, percentiles and max of each metric per group."""
-    keys = [*by, "metric"]
-    return _summary(ranked_values(value_counts(df, metrics, by), keys), keys, probs, digits)
+    return _described(df, metrics, [list(by)], list(by), probs, digits).drop("level")
 
 
 def describe_levels(
@@ -128,38 +95,85 @@ def describe_levels(
     probs: Sequence[float] = TAILS,
     digits: int | None = 3,
 ) -> DataFrame:
-    """:func:`describe` at several grouping levels (overall, per label, per group) in one scan."""
+    """:func:`describe` at several grouping levels (overall, per label, per group)."""
     columns = list(dict.fromkeys(c for level in levels for c in level))
-    counts = add_levels(value_counts(df, metrics, columns), levels, columns)
-    keys = ["level", *columns, "metric"]
-    return _summary(ranked_values(counts, keys), keys, probs, digits)
+    return _described(df, metrics, levels, columns, probs, digits)
 
 
-def describe_sketch(
-    df: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), probs: Sequence[float] = QUARTILES, accuracy: int = 10000
+def _described(
+    df: DataFrame, metrics: Sequence[str], levels: Sequence[Sequence[str]], columns: list[str], probs: Sequence[float], digits: int | None
 ) -> DataFrame:
-    """Cheaper :func:`describe`: one shuffle, percentiles within ``1/accuracy`` of the exact rank."""
+    """Summaries in two passes over the narrow values, which are written once.
+
+    The first counts values per bin, a table that does not grow with the rows; it gives all moments, and the few bins
+    that hold a wanted rank.  The second ranks the values of those bins only.
+    """
+    narrow = cut_lineage(df.select(*columns, *metrics))
     pairs = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
-    long = df.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.metric", "p.value")
-    quantiles = F.percentile_approx("value", [float(p) for p in probs], accuracy)
-    return (
-        long.groupBy(*by, "metric")
-        .agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            quantiles.alias("_q"),
-            F.max("value").alias("max"),
-        )
-        .select(
-            *by,
-            "metric",
-            "count",
-            "mean",
-            "std",
-            "min",
-            *[F.col("_q")[i].alias(percentile_name(p)) for i, p in enumerate(probs)],
-            "max",
-        )
+    values = narrow.select(*columns, F.explode(F.array(*pairs)).alias("_pair")).select(*columns, "_pair.*")
+    values = values.filter(F.col("value").isNotNull()).withColumn("_bin", value_bin(F.col("value")))
+    bins = values.groupBy(*columns, "metric", "_bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"), F.var_pop("value").alias("_var"),
+        F.min("value").alias("_min"), F.max("value").alias("_max"),
+    )
+    bins = cut_lineage(_per_level(bins, levels, columns))
+
+    weighted = F.col("n") * F.col("_mean")
+    whole = W.partitionBy("_key")
+    centred = bins.withColumn("mean", F.sum(weighted).over(whole) / F.sum("n").over(whole))
+    count = F.sum("n")
+    squares = F.sum(F.col("n") * (F.col("_var") + F.pow(F.col("_mean") - F.col("mean"), F.lit(2.0))))
+    moments = centred.groupBy("_key").agg(
+        count.alias("count"),
+        F.max("mean").alias("mean"),
+        F.when(count > 1, F.sqrt(squares / (count - 1))).alias("std"),
+        F.min("_min").alias("min"),
+        F.max("_max").alias("max"),
+    )
+
+    per_bin = bins.groupBy("_key", "_bin").agg(F.sum("n").alias("n"))
+    upto = whole.orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = per_bin.withColumns({"_before": F.sum("n").over(upto) - F.col("n"), "_total": F.sum("n").over(whole)})
+    wanted = []
+    for i, p in enumerate(probs):
+        position = (F.col("_total") - 1) * F.lit(float(p))
+        wanted += [F.struct(F.lit(i).alias("p"), F.lit(side).alias("side"), rank.alias("rank"), (position - F.floor(position)).alias("part"))
+                   for side, rank in (("low", F.floor(position)), ("high", F.ceil(position)))]
+    ranks = placed.withColumn("_w", F.explode(F.array(*wanted))).filter(
+        (F.col("_w")["rank"] >= F.col("_before")) & (F.col("_w")["rank"] < F.col("_before") + F.col("n"))
+    )
+    ranks = cut_lineage(ranks.select("_key", "_bin", "_before", "_w.*"))
+
+    # At most two bins per percentile and group are looked into.
+    inside = values.join(ranks.select(F.col("_key")["metric"].alias("metric"), "_bin").distinct(), ["metric", "_bin"], "left_semi")
+    inside = _per_level(inside.groupBy(*columns, "metric", "_bin", "value").agg(F.count(F.lit(1)).alias("n")), levels, columns)
+    inside = inside.join(ranks.select("_key", "_bin", "_before").distinct(), ["_key", "_bin"])
+    inside = inside.groupBy("_key", "_bin", "_before", "value").agg(F.sum("n").alias("n"))
+    order = W.partitionBy("_key", "_bin").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = inside.withColumn("_from", F.col("_before") + F.sum("n").over(order) - F.col("n")).drop("_before")
+    hit = (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_from") + F.col("n"))
+    found = ranked.join(ranks, ["_key", "_bin"]).filter(hit)
+
+    def at(i: int, side: str, what: str = "value") -> Column:
+        return F.max(F.when((F.col("p") == i) & (F.col("side") == side), F.col(what)))
+
+    percentiles = found.groupBy("_key").agg(
+        *[(at(i, "low") + (at(i, "high") - at(i, "low")) * at(i, "low", "part")).alias(percentile_name(p)) for i, p in enumerate(probs)]
     )
+    out = moments.join(percentiles, "_key")
+    names = ["mean", "std", "min", *[percentile_name(p) for p in probs], "max"]
+    rounded = [(F.round(c, digits) if digits is not None else F.col(c)).alias(c) for c in names]
+    return out.select("_key.level", *[F.col("_key")[c].alias(c) for c in columns], "_key.metric", "count", *rounded)
+
+
+def _per_level(rows: DataFrame, levels: Sequence[Sequence[str]], columns: list[str]) -> DataFrame:
+    """Rows once per grouping level, with ``_key``: level, its columns (null outside of it) and metric."""
+    keys = [
+        F.struct(
+            F.lit("+".join(level) or "overall").alias("level"),
+            *[(F.col(c) if c in level else F.lit(None).cast("string")).alias(c) for c in columns],
+            F.col("metric").alias("metric"),
+        )
+        for level in levels
+    ]
+    return rows.withColumn("_key", F.explode(F.array(*keys))).drop(*columns, "metric")

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardsift.operators.features import FeatureSpec
 from wardsift.operators.models import ModelConfig, coefficient_table, fit_table, score_fits
 from wardsift.operators.summaries import TOP_ORDER
-from wardsift.operators.validation import cross_fit, group_training_set, holdout_training_set
+from wardsift.operators.splits import SEED, TEST_SHARE, group_folds, group_sizes, with_signature
+from wardsift.operators.validation import cross_fit, group_training_set, holdout_training_set, inner_draw
 from wardsift.plans.train import grid_search, group_cross_validation, shortcut_probe, single_run, validate_top
 from wardsift.session import cut_lineage
 
@@ -33,16 +34,14 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL_MROWS = f"""{SQL_SIGNALS}, mrows AS (SELECT case_id, CAST(n_words AS DOUBLE) AS x, CAST(n_words AS VARCHAR) AS group_key,
   CAST(expected_action = 'escalation' AS INTEGER) AS y FROM lsignals),
-groups AS (SELECT group_key, count(*) AS size FROM mrows GROUP BY group_key),
-drawn AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('inner|42|0|' || case_id))
-  <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY y)) AS held FROM mrows)"""
+groups AS (SELECT group_key, count(*) AS size FROM mrows GROUP BY group_key)"""
 
-HOLDOUT = """{p}placed AS (SELECT *, 1 AS split_id, row_number() OVER (PARTITION BY y ORDER BY md5('holdout|42|0|' || case_id))
-  <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY y)) AS test FROM drawn)"""
+HOLDOUT = """{p}roled AS (SELECT *, 1 AS split_id, row_number() OVER (PARTITION BY y ORDER BY md5('holdout|42|0|' || case_id))
+  <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY y)) AS test FROM mrows)"""
 SHUFFLE = SQL_SHUFFLE + """,
-{p}placed AS (SELECT drawn.*, split_id, role = 'test' AS test FROM drawn JOIN roles USING (group_key))"""
+{p}roled AS (SELECT mrows.*, split_id, role = 'test' AS test FROM mrows JOIN roles USING (group_key))"""
 KFOLD = SQL_FOLDS + """,
-{p}placed AS (SELECT drawn.*, s.split_id, fold = s.split_id AS test FROM drawn JOIN folds USING (group_key), range(1, 6) s(split_id))"""
+{p}roled AS (SELECT mrows.*, s.split_id, fold = s.split_id AS test FROM mrows JOIN folds USING (group_key), range(1, 6) s(split_id))"""
 
 
 def sql_fit(placed: str, configs: str, p: str = "") -> str:
@@ -57,7 +56,10 @@ def sql_fit(placed: str, configs: str, p: str = "") -> str:
         FROM (SELECT *, label = 1 AS y, score >= {cut} AS p FROM {p}tested JOIN {p}best USING (ks)) GROUP BY ALL)
   JOIN {p}areas USING (ks) JOIN {p}configs USING (config_id))"""
 
-    return f"""{placed.replace("{p}", p)}, {p}configs(config_id, c, balanced) AS ({configs}),
+    return f"""{placed.replace("{p}", p)},
+{p}placed AS (SELECT *, NOT test AND row_number() OVER (PARTITION BY split_id, y, test ORDER BY md5('inner|42|' || split_id || '|' || case_id))
+  <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY split_id, y, test)) AS held FROM {p}roled),
+{p}configs(config_id, c, balanced) AS ({configs}),
 {p}train AS (SELECT split_id, side, x, y, count(*) AS w FROM {p}placed, (VALUES ('outer'), ('inner')) v(side)
   WHERE NOT test AND (side = 'outer' OR NOT held) GROUP BY ALL),
 {p}stats AS (SELECT split_id, side, sum(w * x) / sum(w) AS mean, sqrt(sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2) AS std,
@@ -98,6 +100,20 @@ def _result(df: DataFrame) -> DataFrame:
     return rounded(df.select(*RESULT_COLUMNS), 4)
 
 
+@query(
+    "split_inner_validation",
+    f"""WITH RECURSIVE {SQL_MROWS}, {sql_fit(KFOLD, _configs(BALANCED))}
+SELECT case_id, CAST(split_id AS INTEGER) AS split_id, y AS label, CASE WHEN held THEN 'test' ELSE 'train' END AS role FROM placed WHERE NOT test""",
+)
+def split_inner_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """The inner draw of every fold: inside its train side, stratified there."""
+    rows = cut_lineage(with_signature(_rows(spark, sf), SPEC.columns))
+    folds = group_folds(cut_lineage(group_sizes(rows)), 5)
+    marked = rows.join(folds, "group_key").withColumn("test_in", F.array("fold"))
+    drawn = inner_draw(marked.select("case_id", "label", "test_in"), 5, "case_id", "label", TEST_SHARE, SEED)
+    return drawn.select("case_id", "split_id", "label", F.when(F.col("held"), "test").otherwise("train").alias("role"))
+
+
 @query("model_single_run", f"WITH RECURSIVE {SQL_MROWS}, {sql_fit(HOLDOUT, _configs(BALANCED))} SELECT {RESULT} FROM best_results")
 def model_single_run(spark: SparkSession, sf: str) -> DataFrame:
     return _result(single_run(_rows(spark, sf), BALANCED, SPEC).metrics_at_best)

@@ -211,7 +211,7 @@ CONFIGS = [
 @pytest.fixture(scope="module")
 def marked(signals):
     patterns = compress_patterns(signals, SPEC)
-    return patterns.withColumns({"test_in": F.array().cast("array<int>"), "inner": F.lit("train")}).cache()
+    return patterns.withColumns({"test_in": F.array().cast("array<int>"), "held": F.array().cast("array<bigint>")}).cache()
 
 
 def test_joint_fit_reaches_the_optimum(marked):
@@ -252,7 +252,7 @@ def test_splits_use_their_own_statistics(signals):
 def test_missing_category_in_a_train_side(spark, signals):
     """The first category that the train side holds is the dropped one; the absent one has no weight."""
     marked = compress_patterns(signals, SPEC).withColumns(
-        {"test_in": F.when(F.col("domain") == "a", F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), "inner": F.lit("train")}
+        {"test_in": F.when(F.col("domain") == "a", F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), "held": F.array().cast("array<bigint>")}
     )
     model = fit_jointly(marked, SPEC, [1], [JointModel(ModelConfig(), 1)])[0]
     assert model.preprocessor.categories["domain"] == ["b", "c"]

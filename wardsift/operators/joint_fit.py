@@ -60,16 +60,17 @@ class Design:
         return Design(spec, tuple(float(row[f"_mean_{c}"]) for c in spec.numeric), levels)
 
     def rows(self, table: DataFrame, split_ids: Sequence[int]) -> DataFrame:
-        """``x`` (design row), ``y``, ``w``, ``train`` (0/1 per split) and ``inner`` (0/1)."""
+        """``x`` (design row), ``y``, ``w``, ``train`` (0/1 per split) and ``inner`` (weight left by the inner draw, per split)."""
         numeric = [F.col(c).cast("double") - F.lit(m) for c, m in zip(self.spec.numeric, self.centres, strict=True)]
         dummies = [F.coalesce(F.col(c) == level, F.lit(False)).cast("double") for c, level in self.levels]
         in_train = [(~F.array_contains("test_in", s)).cast("double") for s in split_ids]
+        left = [(F.col("weight") - F.coalesce(F.get("held", i), F.lit(0))).cast("double") for i in range(len(split_ids))]
         return table.select(
             F.array(*numeric, *dummies, F.lit(1.0)).alias("x"),
             F.col("label").cast("double").alias("y"),
             F.col("weight").cast("double").alias("w"),
             F.array(*in_train).alias("train"),
-            (F.col("inner") == "train").cast("double").alias("inner"),
+            F.array(*left).alias("inner"),
         )
 
 
@@ -85,7 +86,7 @@ def _sums_per_model(rows: DataFrame, width: int, batch_sums) -> np.ndarray:
                     batch["y"].to_numpy(),
                     batch["w"].to_numpy(),
                     np.stack(batch["train"].to_numpy()),
-                    batch["inner"].to_numpy(),
+                    np.stack(batch["inner"].to_numpy()),
                 )
                 total = part if total is None else total + part
         if total is not None:
@@ -100,9 +101,8 @@ def _sums_per_model(rows: DataFrame, width: int, batch_sums) -> np.ndarray:
 
 
 def _side_weights(w, train, inner, split_index, is_inner):
-    """Row weights per model side: in the train side of the split, and outside inner validation."""
-    side = train[:, split_index]
-    return w[:, None] * np.where(is_inner[None, :], side * inner[:, None], side)
+    """Row weights per model side: in the train side of the split, and outside its inner validation."""
+    return train[:, split_index] * np.where(is_inner[None, :], inner[:, split_index], w[:, None])
 
 
 def _moments(rows: DataFrame, n_numeric: int, width: int, split_index: np.ndarray, is_inner: np.ndarray) -> np.ndarray:
@@ -190,7 +190,7 @@ def fit_jointly(
     scale: bool = True,
     strict: bool = True,
 ) -> list[FittedModel]:
-    """Fit all models over ``table`` (features, ``label``, ``weight``, ``inner``, ``test_in``).
+    """Fit all models over ``table`` (features, ``label``, ``weight``, ``held``, ``test_in``).
 
     A model takes at most ``max_iter`` passes of its configuration.  One that has not converged by then raises an
     error; with ``strict=False`` it is returned with ``converged`` false.

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.hashing import hash_draw
 from ..functions.labels import decision_at
 from ..session import cut_lineage
 from .curves import best_threshold, curve_areas, curve_points, score_counts, threshold_sweep
@@ -18,7 +19,7 @@ from .evaluation import COUNTS, with_binary_metrics
 from .features import FeatureSpec, compress_patterns
 from .joint_fit import JointModel, fit_jointly
 from .models import FittedModel, ModelConfig, fit_table, score_fits
-from .splits import SEED, TEST_SHARE, fold_roles, group_folds, group_shuffle_splits, group_sizes, stratified_split, with_signature
+from .splits import SEED, TEST_SHARE, digest_cuts, fold_roles, group_folds, group_shuffle_splits, group_sizes, stratified_split, with_signature
 
 MODEL_KEYS = ["config_id", "split_id"]
 
@@ -27,8 +28,8 @@ MODEL_KEYS = ["config_id", "split_id"]
 class TrainingSet:
     """Weighted patterns with the splits that test them.
 
-    ``table`` holds the features, ``label``, ``weight``, ``inner`` (side of the inner validation
-    draw) and ``test_in`` (ids of the splits whose test side holds the pattern).
+    ``table`` holds the features, ``label``, ``weight``, ``test_in`` (ids of the splits whose test side holds the
+    pattern) and ``held`` (per split, how many of its rows the inner validation draw took from the train side).
     """
 
     table: DataFrame
@@ -39,19 +40,43 @@ class TrainingSet:
     def _train_ids(self) -> Column:
         return F.array_except(F.array(*[F.lit(s) for s in self.split_ids]), F.col("test_in"))
 
-    def train_rows(self, inner_side: str | None = None) -> DataFrame:
-        """Train patterns of every split, with ``split_id``."""
-        rows = self.table if inner_side is None else self.table.filter(F.col("inner") == inner_side)
-        return rows.withColumn("split_id", F.explode(self._train_ids()))
+    def inner_rows(self) -> DataFrame:
+        """Inner validation patterns of every split, with ``split_id``; ``weight`` counts the rows drawn in that split."""
+        rows = self.table.withColumn("split_id", F.explode(self._train_ids()))
+        return rows.withColumn("weight", F.element_at("held", F.col("split_id"))).filter(F.col("weight") > 0)
 
     def test_rows(self) -> DataFrame:
         """Test patterns of every split, with ``split_id``."""
         return self.table.withColumn("split_id", F.explode("test_in"))
 
 
-def _compressed(signals: DataFrame, spec: FeatureSpec, key: str, seed: int, keep: Sequence[str]) -> DataFrame:
-    drawn = stratified_split(signals, key, "label", TEST_SHARE, seed, salt="inner", out_col="inner")
-    return cut_lineage(compress_patterns(drawn, spec, "label", [*keep, "inner"]))
+def inner_draw(rows: DataFrame, n_splits: int, key: str, label_col: str, share: float, seed: int) -> DataFrame:
+    """``split_id`` and ``held`` for every row (with ``test_in``) in the train side of every split.
+
+    Each split draws its inner validation rows anew, inside its own train side and stratified there.  Rows
+    are compared with one cut per split and label.
+    """
+    ids = F.array(*[F.lit(s) for s in range(1, n_splits + 1)])
+    drawn = rows.withColumn("split_id", F.explode(F.array_except(ids, "test_in")))
+    drawn = drawn.withColumn("h", hash_draw("inner", seed, F.col("split_id"), F.col(key)))
+    cuts = digest_cuts(drawn.select("split_id", label_col, "h"), ["split_id", label_col], [share])
+    # One cut per split and label.
+    joined = drawn.join(F.broadcast(cuts.select("split_id", label_col, "cut")), ["split_id", label_col])
+    return joined.withColumn("held", F.col("h") <= F.col("cut")).drop("h", "cut")
+
+
+def _with_inner(rows: DataFrame, spec: FeatureSpec, n_splits: int, mode: str, key: str, share: float, seed: int) -> TrainingSet:
+    """Patterns of rows with ``test_in``, and the rows per pattern that each split's inner draw holds out."""
+    marked = cut_lineage(with_signature(rows, spec.columns, "_pattern"))
+    pattern = ["_pattern", "label"]
+    patterns = compress_patterns(marked, spec, "label", ["test_in", "_pattern"])
+    held = inner_draw(marked.select(key, "label", "test_in", "_pattern"), n_splits, key, "label", share, seed).filter("held")
+    counts = held.groupBy(*pattern, "split_id").agg(F.count(F.lit(1)).alias("n"))
+    # At most n_splits entries per pattern.
+    per_pattern = counts.groupBy(*pattern).agg(F.map_from_entries(F.collect_list(F.struct("split_id", "n"))).alias("_held"))
+    joined = patterns.join(per_pattern, pattern, "left")
+    by_split = [F.coalesce(F.try_element_at("_held", F.lit(s)), F.lit(0).cast("bigint")) for s in range(1, n_splits + 1)]
+    return _training_set(joined.withColumn("held", F.array(*by_split)).drop("_held", "_pattern"), spec, range(1, n_splits + 1), mode)
 
 
 def _written_signals(signals: DataFrame, spec: FeatureSpec, key: str, label_col: str) -> DataFrame:
@@ -74,9 +99,8 @@ def holdout_training_set(
     """One stratified train/test split of the rows."""
     rows = _written_signals(signals, spec, key, label_col)
     drawn = stratified_split(rows, key, "label", test_share, seed, salt="holdout", out_col="_role")
-    patterns = _compressed(drawn, spec, key, seed, ["_role"])
     test_in = F.when(F.col("_role") == "test", F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return _training_set(patterns.withColumn("test_in", test_in).drop("_role"), spec, [1], "stratified")
+    return _with_inner(drawn.withColumn("test_in", test_in).drop("_role"), spec, 1, "stratified", key, test_share, seed)
 
 
 def group_training_set(
@@ -91,12 +115,10 @@ def group_training_set(
 ) -> TrainingSet:
     """Splits that keep rows with equal features together.
 
-    A group is a feature signature, so a group is a pattern and the splits are drawn on the
-    compressed table.
+    A group is a feature signature; splits are drawn on the groups.
     """
-    rows = _written_signals(signals, spec, key, label_col)
-    patterns = with_signature(_compressed(rows, spec, key, seed, []), spec.columns)
-    sizes = group_sizes(patterns, "group_key", "weight")
+    rows = with_signature(_written_signals(signals, spec, key, label_col), spec.columns)
+    sizes = cut_lineage(group_sizes(rows, "group_key"))
     if split_mode == "group_shuffle":
         roles = group_shuffle_splits(sizes, n_splits, test_share, seed)
     elif split_mode == "group_kfold":
@@ -110,10 +132,10 @@ def group_training_set(
         .groupBy("group_key")
         .agg(F.sort_array(F.collect_list(F.col("split_id").cast("int"))).alias("test_in"))
     )
-    joined = patterns.join(test_in, "group_key", "left").withColumn(
+    joined = rows.join(test_in, "group_key", "left").withColumn(
         "test_in", F.coalesce("test_in", F.array().cast("array<int>"))
     )
-    return _training_set(joined, spec, range(1, n_splits + 1), split_mode)
+    return _with_inner(joined.drop("group_key"), spec, n_splits, split_mode, key, test_share, seed)
 
 
 Fits = dict[tuple[int, int], FittedModel]
@@ -142,7 +164,7 @@ def score_test(data: TrainingSet, fits: Fits) -> DataFrame:
 
 def score_inner(data: TrainingSet, fits: Fits) -> DataFrame:
     """Scores of inner models on the inner validation side of their split's train rows."""
-    return score_fits(data.train_rows("test"), fit_table(data.table.sparkSession, fits), data.spec)
+    return score_fits(data.inner_rows(), fit_table(data.table.sparkSession, fits), data.spec)
 
 
 def model_metrics(scored: DataFrame, thresholds: DataFrame, data: TrainingSet, label_col: str = "label") -> DataFrame:

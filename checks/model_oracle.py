@@ -7,6 +7,9 @@ scores, sweeps, thresholds and metrics from it.  Results are compared at four di
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardsift.operators.features import FeatureSpec
@@ -14,8 +17,9 @@ from wardsift.operators.models import ModelConfig, coefficient_table, fit_table,
 from wardsift.operators.summaries import TOP_ORDER
 from wardsift.operators.splits import SEED, TEST_SHARE, group_folds, group_sizes, with_signature
 from wardsift.operators.validation import cross_fit, group_training_set, holdout_training_set, inner_draw
-from wardsift.plans.train import grid_search, group_cross_validation, shortcut_probe, single_run, validate_top
-from wardsift.session import cut_lineage
+from wardsift.plans.train import final_model, grid_search, group_cross_validation, shortcut_probe, single_run, validate_top
+from wardsift.session import cut_lineage, ensure_checkpoint_dir
+from wardsift.sources.tables import load_model, runtime_metrics, save_model, timed, write_result
 
 from .evaluation import SQL_CELLS, SQL_GRID, SQL_METRICS, rounded, sql_areas, sql_points, sql_sweep
 from .registry import query
@@ -168,6 +172,30 @@ def model_topk_validation(spark: SparkSession, sf: str) -> DataFrame:
     return _result(validate_top(rows, grid_search(rows, CONFIGS, 30, spec=SPEC).top, 5, SPEC).best_t_results)
 
 
+WHOLE = "{p}roled AS (SELECT *, 1 AS split_id, false AS test FROM mrows)"
+
+
+@query(
+    "model_saved_scores",
+    f"""WITH RECURSIVE {SQL_MROWS}, {sql_fit(WHOLE, _configs(ModelConfig()))}
+SELECT case_id, y AS label, round(CAST(1 AS DOUBLE) / (1 + exp(-(b0 + b1 * (x - mean) / std))), 4) AS score FROM mrows, model WHERE side = 'outer'""",
+)
+def model_saved_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """An MLlib pipeline of all rows, saved, loaded and applied to them."""
+    rows, path = cut_lineage(_rows(spark, sf)), f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    save_model(final_model(rows, ModelConfig(), SPEC).pipeline(), path)
+    scored = load_model(path).transform(rows)
+    return scored.select("case_id", "label", F.round(vector_to_array("probability")[1], 4).alias("score"))
+
+
+@query("run_time_rows", f"WITH {SQL_SIGNALS} SELECT count(*) AS n_rows FROM lsignals")
+def run_time_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The row count that a run's own write reports; its seconds are left out."""
+    df, seen = timed(_rows(spark, sf))
+    write_result(df, f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}")
+    return spark.createDataFrame([(runtime_metrics(seen, 1.0)["n_rows"],)], "n_rows bigint")
+
+
 SQL_PROBE = f"""WITH RECURSIVE {SQL_MROWS},
 cut AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('folds|42|0|' || case_id)) AS rn, count(*) OVER (PARTITION BY y) AS n FROM mrows),
 folded AS (SELECT x / 1000 AS x, y, 1 + {" + ".join(f"(rn > ceil(CAST({k / 5} AS DOUBLE) * n))::INT" for k in range(1, 5))} AS fold FROM cut),

@@ -4,40 +4,52 @@ import random
 import numpy as np
 import pytest
 
-from wardsift.llm.bwt_merge import Shard, intervals, merge
+from wardsift.llm.bwt_merge import Shard, intervals, merge, symbols
 from wardsift.llm.op4_suffixes import suffix_dedup, suffix_digests
 
 
-def shard(strings):
-    return Shard(np.frombuffer(b"".join(strings), np.uint8), np.append(0, np.cumsum([len(s) for s in strings])))
+def shards_of(made, step):
+    flat = [s for m in made for s in m]
+    symbol = symbols(np.frombuffer(b"".join(flat), np.uint8), np.append(0, np.cumsum([len(s) for s in flat])), step)
+    cut = np.append(0, np.cumsum([sum(len(s) + 1 for s in m) for m in made]))
+    return [Shard(symbol[a:b], np.array([len(s) for s in m]), step) for a, b, m in zip(cut[:-1], cut[1:], made)]
+
+
+def prefix(a, b, depth):
+    n = 0
+    while n < min(len(a), len(b), depth) and a[n] == b[n]:
+        n += 1
+    return n
 
 
 @pytest.mark.parametrize("letters", [2, 4, 200])
-def test_merged_order_and_common_prefixes(letters):
+@pytest.mark.parametrize("step", [1, 4, 8, 12])
+def test_merged_order_and_common_prefixes(letters, step):
     rng = random.Random(letters)
     made = [[bytes(rng.randrange(letters) for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(1, 9))] for _ in range(5)]
     made[2][0] = made[0][0]
-    shards, depth = [shard(m) for m in made], 25
-    flat = [(s[o:], z, i, o) for z, m in enumerate(made) for i, s in enumerate(m) for o in range(len(s) + 1)]
-    for z, own in enumerate(shards):
-        want = sorted((f for f in flat if f[1] == z), key=lambda f: ([b + 1 for b in f[0]] + [0], f[2]))
-        assert [(i, o) for _, _, i, o in want] == list(zip(own.string.tolist(), own.offset.tolist()))
-    source, common = merge(shards, depth)
-    order = sorted(flat, key=lambda f: ([b + 1 for b in f[0]] + [0])[: depth] + ([0] if len(f[0]) < depth else []) + [10**6 + f[1] * 1000 + f[2]])
-    assert [f[1] for f in order if len(f[0]) < depth] == [z for f, z in zip(order, source.tolist()) if len(f[0]) < depth]
-    def prefix(a, b):
-        n = 0
-        while n < min(len(a), len(b), depth) and a[n] == b[n]:
-            n += 1
-        return n
-    assert [prefix(a[0], b[0]) for a, b in zip(order, order[1:])] == common[1:].tolist()
-    z, i, o, group = intervals(shards, depth)
+    shards, rounds = shards_of(made, step), 24 // step
+    for own, m in zip(shards, made):
+        # By whole symbols; a suffix shorter than a symbol is an end mark, smaller than all symbols.
+        def key(f):
+            s, i, o = f
+            return [tuple(s[k : k + step]) for k in range(0, len(s) - step + 1, step)] + [(-1,), (i, o + len(s) // step * step)]
+        want = sorted(((s[o:], i, o) for i, s in enumerate(m) for o in range(len(s) + 1)), key=key)
+        assert [(i, o) for _, i, o in want] == list(zip(own.string.tolist(), own.offset.tolist()))
+    source, common = merge(shards, rounds)
+    at, merged = [0] * len(shards), []
+    for z in source.tolist():
+        own = shards[z]
+        merged.append(made[z][own.string[at[z]]][own.offset[at[z]] :])
+        at[z] += 1
+    assert [prefix(a, b, step * rounds) // step for a, b in zip(merged, merged[1:])] == common[1:].tolist()
+    z, i, o, group = intervals(shards, rounds)
     by_group, by_bytes = {}, {}
     for a, b, c, g in zip(z.tolist(), i.tolist(), o.tolist(), group.tolist()):
         s = made[a][b][c:]
-        if len(s) >= depth:
+        if len(s) >= 24:
             by_group.setdefault(g, set()).add((a, b, c))
-            by_bytes.setdefault(s[:depth], set()).add((a, b, c))
+            by_bytes.setdefault(s[:24], set()).add((a, b, c))
     assert sorted(map(sorted, by_group.values())) == sorted(map(sorted, by_bytes.values()))
 
 

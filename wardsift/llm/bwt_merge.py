@@ -1,10 +1,14 @@
 """Burrows-Wheeler transforms of string collections and their merge by iterative interleave refinement.
 
-A shard is a collection of byte strings, each ended by its own end mark; its transform lists, in suffix order, the
-symbol before each suffix.  Merging keeps, per slot of the common order, only the shard it comes from.  One
-refinement reads the slots in order, takes the next symbol of each slot's transform, and places the slot's
-shard into the bucket of that symbol: an order by h symbols becomes one by h + 1 without comparing or sorting a
-suffix.  A border between two slots that first appears in round h says that the suffixes beside it share h - 1 symbols.
+A shard is a collection of byte strings; its transform lists, in suffix order, the symbol before each suffix.  Merging
+keeps, per slot of the common order, only the shard it comes from.  One refinement reads the slots in order, takes the
+next symbol of each slot's transform, and places the slot's shard into the bucket of that symbol: an order by h
+symbols becomes one by h + 1 without comparing or sorting a suffix.  A border between two slots that first
+appears in round h says that the suffixes beside it share h - 1 symbols.
+
+A symbol stands for ``step`` bytes (their rank among all of the collection), and the symbol before a suffix are the
+``step`` bytes before it, so a refinement deepens the order by ``step`` bytes.  Suffixes shorter than ``step`` are
+end marks: they differ from each other and come first, string by string.
 """
 
 from __future__ import annotations
@@ -12,94 +16,119 @@ from __future__ import annotations
 import numpy as np
 
 
+def symbols(data: np.ndarray, offsets: np.ndarray, step: int) -> np.ndarray:
+    """The symbol at every suffix (string by string, one suffix more than bytes), 0 for end marks."""
+    strings = len(offsets) - 1
+    lengths = np.diff(offsets)
+    place = np.arange(len(data)) + np.repeat(np.arange(strings), lengths)
+    whole = np.arange(len(data)) + step <= np.repeat(offsets[1:], lengths)
+    rank = _gram_ranks(data, step)[whole]
+    rank = rank + 1
+    out = np.zeros(len(data) + strings, np.uint16 if len(rank) == 0 or rank.max() < 1 << 16 else np.uint32)
+    out[place[whole]] = rank
+    return out
+
+
+def _gram_ranks(data: np.ndarray, step: int) -> np.ndarray:
+    """Dense rank of the ``step`` bytes from every position on (zeros after the end); long ones from ranks of their halves."""
+    at = np.arange(len(data))
+    last = max(len(data) - 1, 0)
+    if step <= 7:
+        gram = np.zeros(len(data), np.uint64)
+        for j in range(step):
+            gram = gram << np.uint64(8) | data[np.minimum(at + j, last)].astype(np.uint64)
+        return np.unique(gram, return_inverse=True)[1]
+    half = (step + 1) // 2
+    rank = _gram_ranks(data, half)
+    pair = rank.astype(np.int64) * len(data) + rank[np.minimum(at + step - half, last)]
+    return np.unique(pair, return_inverse=True)[1]
+
+
 class Shard:
-    """Suffixes in order (``string``, ``offset``) and the symbol before each (0: start of the string)."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        strings = len(offsets) - 1
-        lengths = np.diff(offsets)
-        string = np.repeat(np.arange(strings), lengths + 1)
-        start = offsets[:-1] + np.arange(strings)
-        symbol = np.zeros(len(data) + strings, np.uint16)
-        inside = np.ones(len(symbol), bool)
-        inside[start + lengths] = False
-        symbol[inside] = data.astype(np.uint16) + 1
-        order = suffix_order(symbol, string, np.repeat(start + lengths, lengths + 1))
+    """Suffixes in order (``string``, ``offset``), the symbol before each (0: none) and the number of end marks."""
+
+    def __init__(self, symbol: np.ndarray, lengths: np.ndarray, step: int):
+        string = np.repeat(np.arange(len(lengths)), lengths + 1)
+        start = np.cumsum(lengths + 1) - (lengths + 1)
+        order = suffix_order(symbol, step)
         self.string, self.offset = string[order], order - start[string[order]]
-        before = symbol[np.maximum(order - 1, 0)]
-        self.transform = np.where(self.offset == 0, 0, before).astype(np.uint16)
-        self.strings = strings
+        self.transform = np.where(self.offset < step, 0, symbol[np.maximum(order - step, 0)]).astype(symbol.dtype)
+        self.marks = int(np.minimum(lengths + 1, step).sum())
 
 
-def suffix_order(symbol: np.ndarray, string: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """Suffixes in order by prefix doubling from 7 symbols on; end marks (0) of earlier strings are smaller."""
+def suffix_order(symbol: np.ndarray, step: int) -> np.ndarray:
+    """Suffixes in order by prefix doubling; only suffixes that are still tied are sorted again."""
     n = len(symbol)
     at = np.arange(n)
-    key = np.zeros(n, np.uint64)
-    for j in range(7):
-        next_ = np.minimum(at + j, n - 1)
-        key = key << np.uint64(9) | np.where(at + j <= mark, symbol[next_], 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = stable_order(symbol)
+    sorted_ = symbol[order]
+    new = np.append(True, (sorted_[1:] != sorted_[:-1]) | (sorted_[1:] == 0))
     rank = np.empty(n, np.int64)
-    new = np.append(True, np.diff(key[order]) != 0)
     rank[order] = np.maximum.accumulate(np.where(new, at, 0))
-    depth = 7
-    while True:
-        size = np.bincount(rank, minlength=n)
-        tied = np.flatnonzero(size[rank] > 1)
-        if not len(tied):
-            break
-        ended = mark[tied] - tied < depth
-        follow = np.where(ended, string[tied], rank[np.minimum(tied + depth, n - 1)])
-        local = np.lexsort((follow, rank[tied]))
-        r, f = rank[tied][local], follow[local]
+    depth = step
+    size = np.bincount(rank, minlength=n)
+    tied = np.flatnonzero(size[rank] > 1)
+    while len(tied):
+        key = rank[tied] * np.int64(n) + rank[tied + depth]
+        local = np.argsort(key, kind="stable")
+        sorted_ = key[local]
+        r = sorted_ // n
         group = np.append(True, r[1:] != r[:-1])
-        value = group | np.append(True, f[1:] != f[:-1])
-        index = np.arange(len(local))
+        value = np.append(True, sorted_[1:] != sorted_[:-1])
+        index = at[: len(local)]
         first = np.maximum.accumulate(np.where(group, index, 0))
-        rank[tied[local]] = r + np.maximum.accumulate(np.where(value, index, 0)) - first
+        placed = r + np.maximum.accumulate(np.where(value, index, 0)) - first
+        rank[tied[local]] = placed
+        again = ~value
+        again[:-1] |= ~value[1:]
+        tied = np.sort(tied[local[again]])
         depth *= 2
     order = np.empty(n, np.int64)
     order[rank] = at
     return order
 
 
-def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Source shard of every slot and common prefix with the slot before (at most ``depth``, which also stands for more)."""
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """Stable order of small unsigned numbers, by radix passes of 16 bits."""
+    if values.dtype.itemsize <= 2:
+        return np.argsort(values, kind="stable")
+    low = np.argsort(values.astype(np.uint16), kind="stable")
+    return low[np.argsort((values[low] >> 16).astype(np.uint16), kind="stable")]
+
+
+def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Source shard of every slot, and the symbols it shares with the slot before (at most ``rounds``, which also stands for more)."""
     sizes = [len(s.transform) for s in shards]
-    marks = sum(s.strings for s in shards)
+    marks = sum(s.marks for s in shards)
     n = sum(sizes)
     transforms = np.concatenate([s.transform for s in shards])
-    if len(present := np.unique(transforms)) <= 256:
-        transforms = np.searchsorted(present, transforms).astype(np.uint8)
     kind = np.uint8 if len(shards) <= 256 else np.uint16
     source = np.repeat(np.arange(len(shards)), sizes).astype(kind)
-    end_marks = np.repeat(np.arange(len(shards)), [s.strings for s in shards]).astype(kind)
+    end_marks = np.repeat(np.arange(len(shards)), [s.marks for s in shards]).astype(kind)
     border = np.zeros(n, bool)
     border[:1] = True
-    common = np.full(n, depth, np.int32)
+    common = np.full(n, rounds, np.int32)
     common[:1] = 0
     symbol = np.empty(n, transforms.dtype)
-    for round_ in range(1, depth + 1):
+    for round_ in range(1, rounds + 1):
         symbol[np.argsort(source, kind="stable")] = transforms
-        place = np.argsort(symbol, kind="stable")
+        place = stable_order(symbol)
         block = np.cumsum(border, dtype=np.int32)[place]
         moved = symbol[place]
         now = np.empty(n, bool)
         now[:1] = True
         now[1:] = (moved[1:] != moved[:-1]) | (block[1:] != block[:-1])
         source = source[place]
-        # End marks differ from each other and stay in the order of their strings.
         source[:marks], now[: marks + 1] = end_marks, True
         common[now & ~border] = round_ - 1
         border |= now
     return source, common
 
 
-def intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, string, offset, interval) of all suffixes; equal intervals share ``depth`` symbols or more."""
-    source, common = merge(shards, depth)
-    group = np.cumsum(common < depth)
+def intervals(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, string, offset, interval) of all suffixes; equal intervals share ``rounds`` symbols or more."""
+    source, common = merge(shards, rounds)
+    group = np.cumsum(common < rounds)
     slots = np.argsort(source, kind="stable")
     return (
         source[slots].astype(np.int64),

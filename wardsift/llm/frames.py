@@ -28,10 +28,24 @@ def mapped(df: DataFrame, run: Callable[[Batches], Batches], schema: str | Struc
     return df.mapInArrow(run, schema)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared checkpoint folder and go on from the written copy.
+
+    The written copy needs no shuffle files, so Spark may delete those of this step when it ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, None)
+    if before is None:
+        return df.checkpoint(eager=True)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def rows_where(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray], max_bytes: int = PIECE_BYTES) -> DataFrame:

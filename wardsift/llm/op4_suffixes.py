@@ -9,7 +9,7 @@ is a collection of its own.  Consecutive windows with one anchor are a context o
    shards, builds their transforms and merges them; intervals with a common prefix of ``width`` hold equal windows, and all but the
    first are told to their chunk.
 
-Contexts of an anchor that occurs more often than ``hot`` would fill one bucket; their windows go by digest through
+Contexts of an anchor with more than ``hot`` different ones would fill one bucket; their windows go by digest through
 many buckets instead (``is_first``), with the same result.
 """
 
@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wardsift.llm.bwt_merge import Shard, intervals
+from wardsift.llm.bwt_merge import Shard, intervals, symbols
 from wardsift.llm.frames import Batches, mapped, record, written
 from wardsift.llm.op6_substrings import order_of
 from wardsift.llm.packed import REQUESTS, SUMMARY, answer, bucket_bits, chunks_of, from_planes, is_first, pack, planes, replies_of, requests, with_replies
@@ -32,6 +32,8 @@ GRAM = 24
 PLACE_BITS = 32
 HOT = 50_000
 SHARD_BYTES = 1 << 17
+#: Bytes by which a refinement deepens the order: the first of these that divides the window.
+STEPS = (20, 10, 8, 6, 5, 4, 3, 2)
 #: Contexts are longer in all than the windows they hold, so a bucket stands for this share of a packed bucket's text.
 FINER = 1
 
@@ -54,8 +56,14 @@ class _Contexts:
         self.rank = rank[self.row]
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = np.unique(self.anchor, return_counts=True)
-        return keys, counts.astype(np.uint64)
+        """Anchors with the contexts to expect: 1 if it occurs once, else its different contexts, 2 at least."""
+        order = np.lexsort((self.content, self.anchor))
+        anchor, content = self.anchor[order], self.content[order]
+        new = np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]
+        head = np.flatnonzero(new)
+        different = np.append(0, np.cumsum(new | np.append(True, content[1:] != content[:-1])[: len(anchor)]))
+        ends = np.append(head[1:], len(anchor))
+        return anchor[head], np.where(ends - head == 1, 1, np.maximum(2, different[ends] - different[head])).astype(np.uint64)
 
     def sort(self, replies: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Contexts to compare: first of each content, in the order sent; copies of them; contexts of hot anchors."""
@@ -181,14 +189,15 @@ def later_windows(bodies: list[np.ndarray], lengths: list[np.ndarray], orders: l
     distinct = _first_of_each(content, rank, place)
     later = np.ones(int((length - width + 1).sum()), bool)
     window_at = np.append(0, np.cumsum(length - width + 1))
-    shards, members = [], []
-    cut = np.cumsum(length[distinct]) // SHARD_BYTES
-    for part in np.split(distinct, np.flatnonzero(np.diff(cut)) + 1):
-        own = np.append(0, np.cumsum(length[part]))
-        pick = np.arange(own[-1]) + np.repeat(offsets[part] - own[:-1], length[part])
-        shards.append(Shard(data[pick], own))
-        members.append(part)
-    shard, string, offset, group = intervals(shards, width)
+    own = np.append(0, np.cumsum(length[distinct]))
+    pick = np.arange(own[-1]) + np.repeat(offsets[distinct] - own[:-1], length[distinct])
+    step = next(k for k in (*STEPS, 1) if width % k == 0)
+    symbol = symbols(data[pick], own, step)
+    suffixes = np.append(0, np.cumsum(length[distinct] + 1))
+    cut = np.append(np.flatnonzero(np.append(True, np.diff(own[1:] // SHARD_BYTES) != 0)), len(distinct))
+    members = [distinct[a:b] for a, b in zip(cut[:-1], cut[1:])]
+    shards = [Shard(symbol[suffixes[a] : suffixes[b]], length[distinct[a:b]], step) for a, b in zip(cut[:-1], cut[1:])]
+    shard, string, offset, group = intervals(shards, width // step)
     base = np.append(0, np.cumsum([len(m) for m in members]))[:-1]
     context = np.concatenate(members)[base[shard] + string]
     window = length[context] - offset >= width
@@ -204,7 +213,7 @@ def _answered(docs: DataFrame, id_col: str, text_col: str, width: int, hot: int)
     fine = bits + FINER
 
     def is_shared(group: np.ndarray, facts: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-        """0: occurs once, 1: twice or more, 2: more often than ``hot``."""
+        """0: occurs once, 1: twice or more, 2: with more contexts than ``hot``."""
         total = np.bincount(group, weights=facts)[group]
         return (total > 1).astype(np.uint64) + (total > hot).astype(np.uint64)
 

@@ -131,7 +131,7 @@ SELECT case_id, y AS label, round(CAST(1 AS DOUBLE) / (1 + exp(-(b0 + b1 * (x -
 def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = cut_lineage(_rows(spark, sf))
     fits = cross_fit(holdout_training_set(rows, SPEC), [ModelConfig()])
-    scored = score_fits(rows.withColumn("split_id", F.lit(1)), fit_table(spark, fits), SPEC)
+    scored = score_fits(rows.withColumn("split_id", F.when(F.col("label") >= 0, 1)), fit_table(spark, fits), SPEC)
     return scored.select("case_id", "label", F.round("score", 4).alias("score"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from checks import views
 from checks.compare import compare_frame
+from wardsift.functions.signals import parse_list_text
 from wardsift.operators.annotation import (
     annotate,
     build_requests,

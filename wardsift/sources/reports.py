@@ -76,6 +76,17 @@ def delimiter_of(header: str) -> str:
     raise ValueError(f"unknown delimiter in header: {header!r}")
 
 
+def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines (``value``, decoded) with ``path``, ``block`` (where the task's part of the file begins) and ``number``."""
+    raw = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    return raw.select(
+        F.decode(F.col("value").cast("binary"), ENCODING).alias("value"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("number"),
+    )
+
+
 def _read_dialect(spark: SparkSession, paths: str | Sequence[str], header: str) -> DataFrame:
     """Latin-1 lines as columns of texts named by ``header``.
 
@@ -89,7 +100,7 @@ def _read_dialect(spark: SparkSession, paths: str | Sequence[str], header: str)
     # A mark after the last field tells how many fields there are, empty ones included.
     fields, mark = [f"_{i}" for i in range(len(names) + 1)], "\x02"
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    lines = spark.read.option("encoding", ENCODING).text(paths if isinstance(paths, str) else list(paths))
+    lines = _lines(spark, paths).select("value")
     lines = lines.where((F.col("value") != header) & (F.trim("value") != ""))
     row = F.from_csv(F.concat("value", F.lit(delimiter + mark)), ", ".join(f"{f} string" for f in fields), options)
     parsed = compute_once(lines, {"_row": row})
@@ -133,14 +144,7 @@ def unify_ids(df: DataFrame, spellings: Mapping[str, str] = ID_SPELLINGS) -> Dat
 
 def header_lines(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
     """First line of every file below ``paths``, in one job; only a line per file and task is kept."""
-    lines = spark.read.option("encoding", ENCODING).text(paths if isinstance(paths, str) else list(paths))
-    numbered = lines.select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("number"),
-    )
-    first = numbered.groupBy("path").agg(F.min_by("value", F.struct("block", "number")).alias("header"))
+    first = _lines(spark, paths).groupBy("path").agg(F.min_by("value", F.struct("block", "number")).alias("header"))
     return {unquote(r["path"]): r["header"] for r in first.collect()}
 
 

@@ -40,6 +40,10 @@ class TrainingSet:
     def _train_ids(self) -> Column:
         return F.array_except(F.array(*[F.lit(s) for s in self.split_ids]), F.col("test_in"))
 
+    def train_rows(self) -> DataFrame:
+        """Train patterns of every split, with ``split_id``."""
+        return self.table.withColumn("split_id", F.explode(self._train_ids()))
+
     def inner_rows(self) -> DataFrame:
         """Inner validation patterns of every split, with ``split_id``; ``weight`` counts the rows drawn in that split."""
         rows = self.table.withColumn("split_id", F.explode(self._train_ids()))

@@ -71,14 +71,14 @@ def bucket_bits(packed: DataFrame) -> int:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Values as compressed planes of 16 bits: the high planes of sorted or small values take almost no room."""
-    raw = np.ascontiguousarray(values.astype(np.uint64).view(np.uint16).reshape(-1, 4).T).tobytes()
+    """Values as compressed planes of bytes: the high planes of sorted or small values take almost no room."""
+    raw = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def from_planes(data: bytes) -> np.ndarray:
     raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint16).reshape(4, -1).T).view(np.uint64).ravel()
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 REQUESTS = "bucket long, kind int, chunk long, keys binary, facts binary"

@@ -18,11 +18,15 @@ from wardsift.llm.op8_quality import drop_rejected
 from wardsift.llm.op9_mixing import label_domains, with_rates
 from wardsift.session import ensure_checkpoint_dir, ship_packages
 
+#: Fixed value: a passage that a document has twice covers double its length, so at most about a seventh of a text may come again.
+#: The base rule ends at half of the words in repeats; a limit near that would leave the suffix array nothing to find.
+MAX_COVERED = 0.30
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     ship_packages(spark, *PACKAGES)
-    return drop_rejected(docs)
+    return drop_rejected(docs, max_covered=MAX_COVERED)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

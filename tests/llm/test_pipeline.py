@@ -63,3 +63,16 @@ def test_stages_take_nulls_clashing_columns_and_repeated_rows(spark):
     assert good.count() == 5 and good.columns == docs.columns
     assert corpus_pipeline.quality_rules(spark, docs.limit(0), "").count() == 0
     assert corpus_pipeline.simhash_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_quality_stage_drops_what_only_the_suffix_array_finds(spark):
+    def planted(passage, total):
+        ws = [f"p{i}" for i in range(passage)]
+        return " ".join(ws + [f"q{i}" for i in range(total - 2 * passage)] + ws)
+
+    texts = {1: planted(60, 300), 2: planted(95, 450), 3: planted(40, 300), 4: planted(0, 300), 5: planted(93, 620), 6: planted(94, 620)}
+    for text in texts.values():  # neither the base rules nor the other limits reject any
+        n, _, symbols, _, repeat3, _, longest, failed, _ = brute_quality(text)
+        assert not failed and 100 * repeat3 <= 50 * n and longest <= 100 and symbols == 0
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()) == [3, 4, 5]

@@ -2,6 +2,8 @@ import gzip
 import glob
 import hashlib
 
+import pytest
+
 from wardsift.llm.op7_warc import archive_pages, chunk_table, decided, read_chunks
 
 
@@ -44,3 +46,25 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in got) == [
         (0, "response", 0, 200), (0, "response", 0, 200), (0, "revisit", 3, 100), (3, "response", 0, 100), (3, "response", 0, 100), (4, "revisit", 3, 100)]
     assert archive_pages(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_last_record_of_a_file_may_end_in_line_breaks(spark, tmp_path):
+    ends = ["", "\r\n", "\r\n\r\n", "\r\n\r", "\r\n\r\n\r\n", "\r", "\n", "\n\r\n"]
+    for i, end in enumerate(ends):
+        page = spark.createDataFrame([(i, "u", "<p>body</p>" + end)], "page_id long, url string, html string").coalesce(1)
+        data = ("<p>body</p>" + end).encode()
+        (got,) = archive_pages(page, str(tmp_path / f"warc/part={i}")).collect()
+        assert (got.page_id, got.payload_bytes, got.payload_digest) == (i, len(data), hashlib.sha256(data).hexdigest())
+    together = read_chunks(spark, str(tmp_path / "warc")).collect()  # files follow each other in one task
+    assert sorted((int(c.record_id), bytes(c.payload).decode()) for c in together) == [(i, "<p>body</p>" + e) for i, e in enumerate(ends)]
+
+
+def test_archive_that_ends_inside_a_record_raises(spark, tmp_path):
+    page = spark.createDataFrame([(1, "u", "<p>body</p>" * 20)], "page_id long, url string, html string").coalesce(1)
+    archive_pages(page, str(tmp_path / "whole")).collect()
+    (part,) = glob.glob(str(tmp_path / "whole/part-*"))
+    (tmp_path / "cut").mkdir()
+    with gzip.open(tmp_path / "cut/part-0.gz", "wb") as f:
+        f.write(gzip.open(part).read()[:-30])
+    with pytest.raises(Exception, match="inside a record"):
+        read_chunks(spark, str(tmp_path / "cut")).collect()

@@ -157,28 +157,41 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
                         rows, held = [], 0
             if rows:
                 yield _chunks(rows)
-        state.finish()
+        if rows := list(state.finish()):
+            yield _chunks(rows)
 
     return mapped(lines, run, CHUNKS)
 
 
 class _Reader:
-    """Byte stream to chunk rows: holds one chunk at most and the digest of the record so far."""
+    """Byte stream to chunk rows: holds one chunk and one line at most and the digest of the record so far.
+
+    Spark does not tell whether a file's last line had a separator: a payload that ends in CR LF leaves the line CR LF without
+    one.  So a separator is added when the next line of the file arrives, and at the end of a file only if a record still lacks it.
+    """
 
     def __init__(self) -> None:
-        self.file, self.open, self.running = None, bytearray(), hashlib.sha256()
+        self.file, self.open, self.running, self.owed = None, bytearray(), hashlib.sha256(), False
 
     def feed(self, file: str, line: bytes) -> Iterator[tuple]:
         if file != self.file:
-            self.finish()
+            yield from self.finish()
             self.file = file
-        self.open += line + END
+        if self.owed:
+            self.open += END
+        self.open += line
+        self.owed = True
         while (row := self._next()) is not None:
             yield row
 
-    def finish(self) -> None:
+    def finish(self) -> Iterator[tuple]:
+        if self.open:
+            self.open += END
+            while (row := self._next()) is not None:
+                yield row
         if self.open:
             raise ValueError(f"archive ends inside a record: {self.file}")
+        self.owed = False
 
     def _next(self) -> tuple | None:
         head_end = self.open.find(END)

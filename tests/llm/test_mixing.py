@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wardsift.llm import op9_mixing
 from wardsift.llm.op9_mixing import DOMAINS, TARGETS, fit_classifier, fit_rates, label_domains, mixing_rates, posteriors, rates, with_rates
 
 
@@ -67,3 +69,29 @@ def test_empty_table_nulls_and_clashing_columns(spark):
     assert mixed.columns == [*docs.columns, "mix_rate"]
     assert sorted(map(str, mixed.drop("mix_rate").collect())) == sorted(map(str, docs.collect()))
     assert mixed.where(F.col("mix_rate").isNull()).count() == 0
+
+
+def test_rare_domain_reaches_its_target_by_default(spark):
+    rng = np.random.default_rng(8)
+    kind = rng.choice(3, 20_000, p=[0.699, 0.3, 0.001])
+    logits = rng.normal(0, 1, (20_000, 3)) + 6 * np.eye(3)[kind] + np.log([0.699, 0.3, 0.001])
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    t = rng.integers(1, 300, 20_000)
+    known = spark.createDataFrame(pd.DataFrame({"n_tokens": t, "p0": p[:, 0], "p1": p[:, 1], "p2": p[:, 2]})).repartition(4)
+    want = np.array([TARGETS[d] for d in DOMAINS])
+    fitted = op9_mixing.fit_targets(known)
+    shares = (t * rates(p, *fitted)[0]) @ p / t.sum()
+    assert fitted.met and fitted.reached == pytest.approx(shares)
+    assert np.abs(shares - want).max() < 1e-3
+
+
+def test_unfinished_fit_raises_and_missed_targets_warn(spark):
+    known = spark.createDataFrame([(100, 0.7, 0.2, 0.1), (50, 0.1, 0.8, 0.1), (70, 0.2, 0.1, 0.7)], "n_tokens long, p0 double, p1 double, p2 double")
+    with pytest.raises(ValueError, match="not converged"):
+        fit_rates(known, max_steps=1)
+    only = known.where("n_tokens = 100")
+    with pytest.warns(RuntimeWarning, match="not met"):
+        fitted = op9_mixing.fit_targets(only)
+    assert not fitted.met
+    p, want = np.array([0.7, 0.2, 0.1]), np.array([TARGETS[d] for d in DOMAINS])
+    assert rates(p[None], *fitted)[0][0] == pytest.approx((p @ want + 1e-4) / (p @ p + 1e-4), abs=1e-4)

@@ -1,15 +1,21 @@
 """Mixing to target weights with soft membership.
 
 A softmax classifier, fitted on a bounded sample of the labelled table, gives each document a posterior over
-domains.  Rates r >= 0 then minimise, by accelerated projected gradient,
+domains.  Rates r >= 0 then minimise
     sum_k (sum_d t_d r_d p_dk - T_k)^2 / S^2 + ridge * sum_d t_d (r_d - 1)^2 / S,
-with t_d the tokens of a document, T_k the target tokens of a domain and S all tokens.  Each step is one Spark job that
-sums K residuals; a document's rate follows from its own posterior and the residuals so far, so no state is kept
-per document and the driver holds K numbers per step.
+with t_d the tokens of a document, T_k the target tokens of a domain and S all tokens.  The minimiser is
+r_d = max(0, 1 - p_d v) for K multipliers v, which Newton steps find: they solve
+    ridge * v + T / S = sum_d t_d r_d p_d / S,
+so each step is scaled by the weighted posterior products of the documents in use, and a domain with few tokens takes no more
+steps than one with many.  Each step is one Spark job that sums K values and K x K products at a few step lengths; a document's
+rate follows from its own posterior and v, so no state is kept per document.
 """
 
 from __future__ import annotations
 
+import warnings
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +28,9 @@ from wardsift.llm.text_arrays import LOWER, byte_sums, flat, mix, pieces, row_of
 DIMENSIONS = 1 << 18
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
+#: Step lengths that one job tries, and the lowest ridge that ``fit_targets`` goes down to.
+LENGTHS = 0.25 ** np.arange(4)
+LEAST_RIDGE = 1e-9
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -108,53 +117,94 @@ def posteriors(docs: DataFrame, classifier: tuple[np.ndarray, np.ndarray], id_co
     return mapped(texts(docs, id_col, text_col), run, f"id {kind}, n_tokens long, " + ", ".join(f"p{k} double" for k in range(len(DOMAINS))))
 
 
-def rates(p: np.ndarray, residuals: list[np.ndarray], step: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rate of every document after the steps with these residuals, and the point where the next is taken."""
-    rate = ahead = np.ones(len(p))
-    momentum = 1.0
-    for residual in residuals:
-        moved = np.maximum(0.0, ahead - step * (p @ residual + ridge * (ahead - 1.0)))
-        grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        ahead = moved + (momentum - 1) / grown * (moved - rate)
-        rate, momentum = moved, grown
-    return rate, ahead
+class Fit(NamedTuple):
+    """Multipliers from which ``rates`` gives any rate, the share of all tokens that each domain gets by them, whether
+    these shares are the targets (within the tolerance), and how many jobs it took."""
+
+    multipliers: np.ndarray
+    reached: np.ndarray
+    met: bool
+    passes: int
+
+
+def rates(p: np.ndarray, multipliers: np.ndarray, *_: object) -> tuple[np.ndarray, np.ndarray]:
+    """Rate of every document by its posterior, and whether it is above zero."""
+    rate = np.maximum(0.0, 1.0 - p @ multipliers)
+    return rate, rate > 0
+
+
+def _sums(known: DataFrame, points: np.ndarray, total: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Per point: squared rates, tokens by domain, and products of posteriors of rates above zero, as shares of all tokens."""
+    k = points.shape[1]
+    names, width = [f"p{j}" for j in range(k)], 1 + k + k * k
+
+    def run(batches: Batches) -> Batches:
+        sums = np.zeros((len(points), width))
+        for batch in batches:
+            p = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
+            tokens = batch.column("n_tokens").to_numpy()
+            for row, point in zip(sums, points):
+                rate, above = rates(p, point)
+                row[0] += (tokens * rate) @ rate
+                row[1 : 1 + k] += (tokens * rate) @ p
+                row[1 + k :] += ((p * (tokens * above)[:, None]).T @ p).ravel()
+        yield record({f"s{j}": [x] for j, x in enumerate(sums.ravel())})
+
+    columns = [f"s{j}" for j in range(len(points) * width)]
+    row = mapped(known.select("n_tokens", *names), run, ", ".join(f"{c} double" for c in columns)).agg(*[F.sum(c) for c in columns]).first()
+    return [(r[0], r[1 : 1 + k], r[1 + k :].reshape(k, k)) for r in np.array(row).reshape(-1, width) / total]
 
 
 def fit_rates(
-    known: DataFrame, targets: dict[str, float] = TARGETS, ridge: float = 1e-4, max_steps: int = 60, tolerance: float = 1e-3
-) -> tuple[list[np.ndarray], float, float]:
-    """Residuals of all steps, step size and ridge, by which ``rates`` gives the rate of any posterior.
+    known: DataFrame, targets: dict[str, float] = TARGETS, ridge: float = 1e-4, max_steps: int = 60, tolerance: float = 1e-3, start: np.ndarray | None = None
+) -> Fit:
+    """The fit of this ``ridge``; ``known`` has ``n_tokens`` and posteriors, ``start`` has multipliers to begin with.
 
-    ``known`` has ``n_tokens`` and posteriors.  Ends when every domain's expected tokens are within ``tolerance`` of the
-    target (relative to all tokens) or after ``max_steps``; infeasible targets end in the least squares.
+    Ends when every domain's expected tokens are within ``tolerance`` of the target (relative to all tokens; the rates are then
+    the closest to one that give these tokens), or at the minimiser, where no slope exceeds a thousandth of ``tolerance``;
+    there ``met`` tells whether the targets are reached.  Raises if neither comes within ``max_steps`` jobs.
     """
     k = len(DOMAINS)
     wanted = np.array([targets.get(d, 0.0) for d in DOMAINS], float)
     wanted /= wanted.sum()
-    names = [f"p{j}" for j in range(k)]
     total = float(known.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+    at = np.zeros(k) if start is None else start
     if not total:
-        return [], 1.0, ridge
-    gram = known.agg(*[F.sum(F.col("n_tokens") * F.col(f"p{a}") * F.col(f"p{b}")) for a in range(k) for b in range(k)]).first()
-    step = 1.0 / (np.linalg.eigvalsh(np.array(gram).reshape(k, k) / total)[-1] + ridge)
-    residuals: list[np.ndarray] = []
-    for _ in range(max_steps):
-        def run(batches: Batches) -> Batches:
-            sums = np.zeros((2, k))
-            for batch in batches:
-                p = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
-                tokens = batch.column("n_tokens").to_numpy()
-                for row, r in zip(sums, rates(p, residuals, step, ridge)):
-                    row += (tokens * r) @ p
-            yield record({f"{c}{j}": [sums[i, j]] for i, c in enumerate("ra") for j in range(k)})
-
-        schema = ", ".join(f"{c}{j} double" for c in "ra" for j in range(k))
-        row = mapped(known.select("n_tokens", *names), run, schema).agg(*[F.sum(f"{c}{j}") for c in "ra" for j in range(k)]).first()
-        reached, ahead = np.array(row[:k]) / total, np.array(row[k:]) / total
-        if np.abs(reached - wanted).max() < tolerance:
-            break
-        residuals.append(ahead - wanted)
-    return residuals, step, ridge
+        return Fit(at, np.zeros(k), False, 0)
+    points, best, shrink = at[None], None, 1.0
+    for passes in range(1, max_steps + 1):
+        for point, length, (squares, reached, products) in zip(points, shrink * LENGTHS, _sums(known, points, total)):
+            value = ridge / 2 * point @ point + wanted @ point + squares / 2
+            slope = ridge * point + wanted - reached
+            # A step counts if it lowers the value as a convex one must, or halves the slope where rounding hides that.
+            if best is None or value <= best + 1e-4 * length * fall or np.abs(slope).max() <= 0.5 * steepest:
+                at, best, steepest, shrink = point, value, np.abs(slope).max(), 1.0
+                met = bool(np.abs(reached - wanted).max() < tolerance)
+                if met or steepest <= 1e-3 * tolerance:
+                    return Fit(at, reached, met, passes)
+                ahead = -np.linalg.solve(products + ridge * np.eye(k), slope)
+                fall = slope @ ahead
+                break
+        else:
+            shrink *= LENGTHS[-1] / 4
+        points = at + shrink * LENGTHS[:, None] * ahead
+    raise ValueError(f"mixing rates have not converged within {max_steps} steps: shares {dict(zip(DOMAINS, reached.tolist()))}, steepest slope {steepest:.2g}")
+
+
+def fit_targets(known: DataFrame, targets: dict[str, float] = TARGETS, ridge: float = 1e-4, **fit: float) -> Fit:
+    """``fit_rates``, with ``ridge`` lowered tenfold (to ``LEAST_RIDGE``) as long as its pull towards rates of one keeps a target from being met.
+
+    If none of them meets the targets, which are then taken as infeasible, the fit of the given ridge (least squares) stays, with a
+    warning that has the shares reached.
+    """
+    first = now = fit_rates(known, targets, ridge, **fit)
+    while first.passes and not now.met and ridge > LEAST_RIDGE:
+        ridge = max(ridge / 10, LEAST_RIDGE)
+        now = fit_rates(known, targets, ridge, start=now.multipliers, **fit)
+    if now.met or not first.passes:
+        return now
+    warnings.warn(f"mixing targets are not met, shares of the tokens are {dict(zip(DOMAINS, first.reached.tolist()))}", RuntimeWarning, stacklevel=2)
+    return first
 
 
 def mixing_rates(
@@ -167,10 +217,10 @@ def mixing_rates(
     equal; an empty table gives an empty result; other columns are ignored.
     """
     known = written(posteriors(docs, fit_classifier(docs, labelled, id_col, text_col), id_col, text_col))
-    return _with_rates(known, fit_rates(known, targets, **fit), id_col)
+    return _with_rates(known, fit_targets(known, targets, **fit), id_col)
 
 
-def _with_rates(known: DataFrame, fitted: tuple[list[np.ndarray], float, float], id_col: str) -> DataFrame:
+def _with_rates(known: DataFrame, fitted: Fit, id_col: str) -> DataFrame:
     names = [f"p{j}" for j in range(len(DOMAINS))]
 
     def run(batches: Batches) -> Batches:
@@ -188,7 +238,7 @@ def with_rates(
 ) -> DataFrame:
     """``docs`` with all columns and the column ``mix_rate``; texts are read again and not shuffled."""
     classifier = fit_classifier(docs, labelled, id_col, text_col)
-    fitted = fit_rates(written(posteriors(docs, classifier, id_col, text_col)), targets, **fit)
+    fitted = fit_targets(written(posteriors(docs, classifier, id_col, text_col)), targets, **fit)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     at, names = docs.columns.index(text_col), [*docs.columns, "mix_rate"]
 

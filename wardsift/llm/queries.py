@@ -147,8 +147,7 @@ joined AS (
   LEFT JOIN c101 USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM joined)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, base_failed,
-       NOT base_failed AND n_covered_words <= CAST(0.45 AS DOUBLE) * n_words AND NOT too_long
-         AND n_symbols <= CAST(0.3 AS DOUBLE) * n_words AS kept
+       NOT base_failed AND n_covered_words <= CAST(0.30 AS DOUBLE) * n_words AND NOT too_long AS kept
 FROM judged"""
 
 

@@ -4,9 +4,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wardsift.llm import op5_lm, packed
 from wardsift.llm.op5_lm import interpolated_scores
 
 
@@ -81,3 +83,10 @@ def test_empty_table_and_null_ids(spark):
     got = interpolated_scores(spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None)], schema)).collect()
     assert sorted((r.doc_id or 0, r.held_out, r.n_tokens) for r in got) == [(0, True, 3), (0, True, 3), (1, False, 1)]
     assert all(math.isfinite(r.score) for r in got)
+
+
+def test_counts_beyond_32_bits_are_summed_whole():
+    group, facts = np.array([0, 1, 0]), np.array([[3 * 10**9, 1], [2, 5 * 10**9], [3 * 10**9, 2**40]], np.uint64)
+    assert op5_lm._sum_group(group, facts, group).tolist() == [[6 * 10**9, 2**40 + 1], [2, 5 * 10**9], [6 * 10**9, 2**40 + 1]]
+    sent = packed.from_planes(packed.planes(facts.T)).reshape(2, -1).T
+    assert (sent == facts).all()

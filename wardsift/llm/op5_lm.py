@@ -23,7 +23,8 @@ START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LEFT, _RIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 BUCKETS = 32
 HELD_OUT, DELETED = 0, 9
-SHIFT = np.uint64(32)
+#: Counts that go with a key: in retained and in deleted training texts, 64 bits each.
+FIELDS = 2
 
 
 def fold(id_col: Column) -> Column:
@@ -44,13 +45,9 @@ def _tokens(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, before, first
 
 
-def _pairs(before: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
-    """Digests of word pairs, cut to 44 bits beyond the bucket's (22 beyond the log of the text's bytes).
-
-    However large the text, fewer than one pair in 2 ** 22 shares its digest with another.
-    """
-    cut = np.uint64(max(0, 64 - 44 - bits))
-    return mix(before * _LEFT + token * _RIGHT) >> cut << cut
+def _pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """64-bit digests of word pairs."""
+    return mix(before * _LEFT + token * _RIGHT)
 
 
 def _chunk_tokens(pieces: list[pa.RecordBatch]):
@@ -61,35 +58,34 @@ def _chunk_tokens(pieces: list[pa.RecordBatch]):
 
 
 def _count(keys: np.ndarray, folds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with their counts in retained (high half) and deleted (low half) training texts."""
+    """Distinct keys with their counts in retained and in deleted training texts."""
     distinct, at = np.unique(keys, return_inverse=True)
     n = len(distinct)
-    kept = np.bincount(at[(folds != HELD_OUT) & (folds != DELETED)], minlength=n).astype(np.uint64)
-    cut = np.bincount(at[folds == DELETED], minlength=n).astype(np.uint64)
-    return distinct, kept << SHIFT | cut
+    kept = np.bincount(at[(folds != HELD_OUT) & (folds != DELETED)], minlength=n)
+    return distinct, np.stack([kept, np.bincount(at[folds == DELETED], minlength=n)], axis=1).astype(np.uint64)
 
 
 def _sum_group(group: np.ndarray, facts: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-    kept = np.bincount(group, weights=facts >> SHIFT).astype(np.uint64)
-    cut = np.bincount(group, weights=facts & np.uint64(0xFFFFFFFF)).astype(np.uint64)
-    return (kept << SHIFT | cut)[group]
+    sums = np.zeros((int(group.max(initial=-1)) + 1, FIELDS), np.uint64)
+    np.add.at(sums, group, facts)
+    return sums[group]
 
 
-def _counts(pieces: list[pa.RecordBatch], replies: pa.Scalar, bits: int):
-    """Global counts (retained, deleted packed) of every token, context and pair of a chunk."""
+def _counts(pieces: list[pa.RecordBatch], replies: pa.Scalar):
+    """Global counts (retained, deleted) of every token, context and pair of a chunk."""
     token, before, folds, firsts = _chunk_tokens(pieces)
     _, where = np.unique(np.concatenate([token, before]), return_inverse=True)
-    found = replies_of(replies, 1)[where]
-    _, at = np.unique(_pairs(before, token, bits), return_inverse=True)
-    return found[: len(token)], found[len(token) : 2 * len(token)], replies_of(replies, 2)[at], folds, firsts
+    found = replies_of(replies, 1, FIELDS)[where]
+    _, at = np.unique(_pairs(before, token), return_inverse=True)
+    return found[: len(token)], found[len(token) : 2 * len(token)], replies_of(replies, 2, FIELDS)[at], folds, firsts
 
 
-def _retained(packed_counts: np.ndarray) -> np.ndarray:
-    return (packed_counts >> SHIFT).astype(np.int64)
+def _retained(counts: np.ndarray) -> np.ndarray:
+    return counts[:, 0].astype(np.int64)
 
 
-def _all(packed_counts: np.ndarray) -> np.ndarray:
-    return _retained(packed_counts) + (packed_counts & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def _all(counts: np.ndarray) -> np.ndarray:
+    return counts.sum(axis=1).astype(np.int64)
 
 
 def interpolated_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = 20) -> DataFrame:
@@ -112,17 +108,17 @@ def interpolated_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             # START is counted as a context only, every other key as a token.
             keys = np.concatenate([token, before[starts]])
             yield from requests(chunk, 1, *_count(keys, np.concatenate([folds, folds[starts]])), bits)
-            yield from requests(chunk, 2, *_count(_pairs(before, token, bits), folds), bits)
+            yield from requests(chunk, 2, *_count(_pairs(before, token), folds), bits)
 
-    replies = written(answer(mapped(packed, ask, REQUESTS), _sum_group, _training_size))
+    replies = written(answer(mapped(packed, ask, REQUESTS), _sum_group, _training_size, FIELDS))
     sums = replies.where((F.col("chunk") == SUMMARY) & (F.col("kind") == 1)).select("reply").toLocalIterator()
     n_kept, n_all, types = (int(n) for n in sum((from_planes(r[0]) for r in sums), np.zeros(3, np.uint64)))
     chunks = with_replies(packed, replies)
-    weights = _learn(chunks, bits, n_kept, types, passes)
+    weights = _learn(chunks, n_kept, types, passes)
 
     def score(batches: Batches) -> Batches:
         for _, pieces, replies in chunks_of(batches):
-            of_token, of_context, of_pair, folds, firsts = _counts(pieces, replies, bits)
+            of_token, of_context, of_pair, folds, firsts = _counts(pieces, replies)
             c, context, pair = _all(of_token), _all(of_context), _all(of_pair)
             a = weights[_bucket(context)]
             p = a[:, 0] / (types + 1)
@@ -162,12 +158,12 @@ def _training_size(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.array([_retained(counts).sum(), _all(counts).sum(), np.count_nonzero(_all(counts))], np.uint64)
 
 
-def _learn(chunks: DataFrame, bits: int, n_kept: int, types: int, passes: int) -> np.ndarray:
+def _learn(chunks: DataFrame, n_kept: int, types: int, passes: int) -> np.ndarray:
     """Weights (uniform, unigram, bigram) per context bucket from the deleted part."""
 
     def gather(batches: Batches) -> Batches:
         for _, pieces, replies in chunks_of(batches):
-            of_token, of_context, of_pair, folds, _ = _counts(pieces, replies, bits)
+            of_token, of_context, of_pair, folds, _ = _counts(pieces, replies)
             cut = folds == DELETED
             facts = np.stack([_retained(x[cut]) for x in (of_context, of_pair, of_token)], axis=1)
             order = np.lexsort(facts.T[::-1])

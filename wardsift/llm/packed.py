@@ -72,7 +72,7 @@ def bucket_bits(packed: DataFrame) -> int:
 
 def planes(values: np.ndarray) -> bytes:
     """Values as compressed planes of bytes: the high planes of sorted or small values take almost no room."""
-    raw = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    raw = np.ascontiguousarray(np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -85,7 +85,7 @@ REQUESTS = "bucket long, kind int, chunk long, keys binary, facts binary"
 
 
 def requests(chunk: int, kind: int, keys: np.ndarray, facts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows for sorted distinct ``keys`` with one 64-bit fact each, cut by bucket."""
+    """Rows for sorted distinct ``keys`` with one or more 64-bit facts each (``facts`` by key), cut by bucket."""
     if not len(keys):
         return
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -98,7 +98,7 @@ def requests(chunk: int, kind: int, keys: np.ndarray, facts: np.ndarray, bits: i
                 "kind": pa.array([kind] * len(spans), pa.int32()),
                 "chunk": pa.array([chunk] * len(spans), pa.int64()),
                 "keys": pa.array([planes(keys[a:b]) for a, b in spans], pa.binary()),
-                "facts": pa.array([planes(facts[a:b]) for a, b in spans], pa.binary()),
+                "facts": pa.array([planes(facts[a:b].T) for a, b in spans], pa.binary()),
             }
         )
 
@@ -111,21 +111,23 @@ def answer(
     asked: DataFrame,
     reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
     summary: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+    fields: int = 1,
 ) -> DataFrame:
     """(``chunk``, ``kind``, ``bucket``, ``reply``) for request rows.
 
     ``reply(group, facts, chunk)`` sees all keys of a bucket: ``group`` numbers the distinct keys, ``chunk`` tells who
-    asks.  It returns one 64-bit value per requested key.  ``summary(keys, replies)`` adds a row of chunk ``SUMMARY`` with
+    asks.  It returns one 64-bit value per requested key, or ``fields`` of them if that many facts were sent (rows of a
+    matrix; see ``replies_of``).  ``summary(keys, replies)`` adds a row of chunk ``SUMMARY`` with
     its values over the distinct keys of the bucket.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys = [from_planes(k) for k in rows["keys"]]
-        facts = np.concatenate([from_planes(f) for f in rows["facts"]])
+        facts = np.concatenate([_fields(from_planes(f), fields) for f in rows["facts"]])
         sizes = [len(k) for k in keys]
         distinct, at, group = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         replies = reply(group, facts, np.repeat(rows["chunk"].to_numpy(), sizes))
-        out = [(c, planes(p)) for c, p in zip(rows["chunk"], np.split(replies, np.cumsum(sizes)[:-1]))]
+        out = [(c, planes(p.T)) for c, p in zip(rows["chunk"], np.split(replies, np.cumsum(sizes)[:-1]))]
         if summary:
             out.append((SUMMARY, planes(summary(distinct, replies[at]))))
         return pd.DataFrame({"chunk": [c for c, _ in out], "kind": key[1], "bucket": key[0], "reply": [r for _, r in out]})
@@ -139,10 +141,14 @@ def with_replies(packed: DataFrame, replies: DataFrame) -> DataFrame:
     return packed.join(own, "chunk", "left")
 
 
-def replies_of(cell: pa.Scalar, kind: int) -> np.ndarray:
+def _fields(values: np.ndarray, fields: int) -> np.ndarray:
+    return values if fields == 1 else values.reshape(fields, -1).T
+
+
+def replies_of(cell: pa.Scalar, kind: int, fields: int = 1) -> np.ndarray:
     """The answers of one kind in the order of the sorted keys that were asked."""
-    parts = [from_planes(r["reply"]) for r in (cell.as_py() or []) if r["kind"] == kind]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    parts = [_fields(from_planes(r["reply"]), fields) for r in (cell.as_py() or []) if r["kind"] == kind]
+    return np.concatenate(parts) if parts else _fields(np.zeros(0, np.uint64), fields)
 
 
 def chunks_of(batches: Batches) -> Iterator[tuple[int, list[pa.RecordBatch], pa.Scalar | None]]:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: The bytes that part words (x20 and x09 to x0D).
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -92,7 +93,10 @@ def prefix_sums(codes: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of spans; equal contents have equal hashes wherever they start."""
+    """64-bit polynomial hash of spans; equal contents have equal hashes wherever they start.
+
+    For spans of fewer than 1,024 symbols; longer regular ones can collide (see ``word_hashes``).
+    """
     inverse = powers("down", _BASE_INVERSE, len(sums))
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
@@ -101,8 +105,26 @@ def byte_sums(data: np.ndarray) -> np.ndarray:
     return prefix_sums(_BYTE_CODE[data])
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The contents of spans that do not overlap, one after the other."""
+    sizes = ends - starts
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    held = data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(byte_sums(data), starts, ends)
+    """64-bit digests of words or lines, each distinct content digested once.
+
+    A polynomial modulo 2 ** 64 (``span_hash``) is the same for any two Thue-Morse strings of 1,024 symbols, so words and
+    lines, which may be long and regular, get a digest without such structure.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    found = gathered(data, starts, ends).dictionary_encode()
+    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+    return digests[found.indices.to_numpy()]
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

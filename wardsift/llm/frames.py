@@ -101,3 +101,19 @@ def components(edges: DataFrame) -> DataFrame:
 def _print_of(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0))).first()
     return row[0], row[1]
+
+
+def numbered(df: DataFrame, name: str = "number") -> DataFrame:
+    """``df``, written once, with dense numbers from 0 in the column ``name``.
+
+    Rows are numbered inside their partitions; the driver gets one size per partition and sends back where each begins.
+    """
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = written(df.withColumn("_inside", inside).withColumn("_part", F.spark_partition_id()))
+    sizes = {r["_part"]: r["count"] for r in held.groupBy("_part").count().collect()}
+    begin, at = [], 0
+    for part in sorted(sizes):
+        begin.append((part, at))
+        at += sizes[part]
+    begins = df.sparkSession.createDataFrame(begin, "_part int, _begin long")
+    return held.join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + F.col("_inside")).drop("_part", "_begin", "_inside")

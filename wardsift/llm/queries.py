@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.registry import query
 from wardsift.llm.op1_decontamination import contaminated
+from wardsift.llm.op11_phrases import collocations
 from wardsift.llm.op13_negatives import hard_negatives
 from wardsift.llm.op10_language import identify, train
 from wardsift.llm.op2_simhash import simhash_groups
@@ -167,6 +168,38 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf}/pages.parquet"), train(documents(spark, sf)))
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+piece AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+gram AS (
+  SELECT lang, k, list_aggregate(w[i:i+k-1], 'string_agg', ' ') AS phrase
+  FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM piece, (VALUES (1), (2), (3)) AS v(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (
+  SELECT c.*, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS head FROM cand) AS c
+  JOIN f AS x ON x.lang = c.lang AND x.k = c.head AND x.phrase = list_aggregate(c.w[1:c.head], 'string_agg', ' ')
+  JOIN f AS y ON y.lang = c.lang AND y.k = c.k - c.head AND y.phrase = list_aggregate(c.w[c.head+1:], 'string_agg', ' ')),
+weakest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, head) = 1),
+longer AS (
+  SELECT lang, part, max(a) AS a
+  FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM cand WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM weakest AS c LEFT JOIN longer AS b ON b.lang = c.lang AND b.part = c.phrase AND c.k = 2
+  WHERE b.a IS NULL OR 100 * b.a < 50 * c.a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+
+@query("op11_phrases", OP11_SQL)
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(documents(spark, sf))
+
+
 OP13_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

@@ -52,9 +52,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the n + 1 offsets of the rows in words."""
-    inside = ~IS_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes that are no ``gaps``), and the n + 1 offsets of the rows in words."""
+    inside = ~gaps[data]
     row_starts = offsets[:-1][offsets[:-1] < len(data)]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]

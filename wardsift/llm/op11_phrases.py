@@ -1,7 +1,7 @@
 """Phrase collocations from exact n-gram counts in counting quotient filters.
 
-Texts are written once as chunks.  Chunks send their distinct words with counts; words below the least count cannot be part of a
-candidate, the others get dense ids (language and word together), which go back to the chunks by a join.  Tasks then count
+Texts are written once as chunks.  Units of some chunks send their distinct words with counts; words below the least count cannot
+be part of a candidate, the others get dense ids (language and word together), which go back to the units by a join.  Tasks then count
 packed id pairs and triples in quotient filters (see ``quotient_filter``), and slices of the filters merge by leading bits of
 the permuted keys.  Slices are even because keys are permuted, and an n-gram that every text holds is one entry per filter.
 A merge takes slices of at most ``FAN`` filters and cuts by at most ``FAN`` prefixes, so rows grow in proportion to the text (with one
@@ -16,6 +16,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -30,29 +31,32 @@ _IS_BREAK = np.zeros(256, bool)
 _IS_BREAK[list(BREAKS)] = True
 _IS_GAP = IS_SPACE | _IS_BREAK
 SLICE_BYTES = 1 << 22
-ENTRIES = 1 << 21
+ENTRIES = 1 << 20
+#: Chunks of a unit (as a power of two), whose words are sent together, and words that a task holds before it sums them.
+UNIT_BITS = 4
+WORDS = 500_000
 FAN_BITS = 12
 FAN = 1 << FAN_BITS
 
 RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 
 
-def _occurrences(body: bytes | pa.Scalar) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's distinct (language, word) in a fixed order with their counts; the place of every occurrence among them, and
-    whether the next word follows it in the same piece."""
-    held = pa.Table.from_batches(unpack(body)).combine_chunks()
-    langs = held.column("id").combine_chunks().dictionary_encode()
-    data, offsets = flat(held.column("text").cast(pa.large_binary()).combine_chunks())
+def _occurrences(piece: pa.RecordBatch) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A piece's distinct (``lang``, ``word``) with their counts ``n``; the place of every occurrence among them, and whether the
+    next word follows it in the same piece of text."""
+    langs = piece.column("id").dictionary_encode()
+    data, offsets = flat(piece.column("text"))
     data = LOWER[data]
     starts, ends, first = words(data, offsets, _IS_GAP)
     names = gathered(data, starts, ends).dictionary_encode()
-    row, breaks = row_of(first), np.cumsum(_IS_BREAK[data])
+    row, breaks = row_of(first), np.cumsum(_IS_BREAK[data], dtype=np.int32)
     follows = np.zeros(len(starts), bool)
     follows[:-1] = (row[1:] == row[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1] - 1])
     wide = max(len(names.dictionary), 1)
     key = langs.indices.to_numpy().astype(np.int64)[row] * wide + names.indices.to_numpy()
     distinct, place, n = np.unique(key, return_inverse=True, return_counts=True)
-    return langs.dictionary.take(pa.array(distinct // wide)), names.dictionary.take(pa.array(distinct % wide)), n, place, follows
+    lang, word = langs.dictionary.take(pa.array(distinct // wide)), names.dictionary.take(pa.array(distinct % wide))
+    return pa.table({"lang": lang.cast(pa.string()), "word": word.cast(pa.binary()), "n": n}), place, follows
 
 
 def ngram_counts(docs: DataFrame, lang_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -60,14 +64,9 @@ def ngram_counts(docs: DataFrame, lang_col: str, text_col: str, least: int) -> t
     ``least`` occurrences up, and (``lang``, ``n``) with all word occurrences."""
     narrow = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     packed = pack(narrow, "lang", "text")
+    unit = F.shiftright("chunk", UNIT_BITS)
 
-    def vocabulary(batches: Batches) -> Batches:
-        for batch in batches:
-            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body")):
-                lang, word, n, _, _ = _occurrences(body)
-                yield record({"lang": lang.cast(pa.string()), "word": word.cast(pa.binary()), "chunk": np.full(len(n), chunk), "place": np.arange(len(n)), "n": n})
-
-    seen = written(mapped(packed, vocabulary, "lang string, word binary, chunk long, place long, n long"))
+    seen = written(mapped(packed, _vocabulary, "unit long, lang string, word binary, n long"))
     totals = seen.groupBy("lang").agg(F.sum("n").alias("n"))
     known = numbered(seen.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "id").withColumn("id", F.col("id") + 1)
     size, text = known.count(), packed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -75,11 +74,14 @@ def ngram_counts(docs: DataFrame, lang_col: str, text_col: str, least: int) -> t
         raise ValueError("more than 2 ** 32 frequent words")
     bits = max(1, size.bit_length())
 
-    ids = seen.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.col("place") * (1 << 32) + F.col("id")).alias("ids"))
+    ids = seen.join(known.select("lang", "word", "id"), ["lang", "word"]).select("unit", F.lit(-1).cast("long").alias("chunk"), "lang", "word", "id", F.lit(None).cast("binary").alias("body"))
+    texts = packed.select(unit.alias("unit"), "chunk", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("id"), "body")
+    # A unit's words come before its chunks.
+    units = ids.union(texts).repartition("unit").sortWithinPartitions("unit", "chunk")
     prefix_bits = min(bits, max(0, math.ceil(math.log2(max(1, text / SLICE_BYTES)))))
     digits = [min(FAN_BITS, prefix_bits - at) for at in range(0, prefix_bits, FAN_BITS)] or [0]
 
-    filters = written(mapped(packed.select("chunk", "body").join(ids, "chunk"), _counting(bits, digits[0]), "shard long, prefix long, entries binary"))
+    filters = written(mapped(units, _counting(bits, digits[0]), "shard long, prefix long, entries binary"))
     shards = numbered(filters.select("shard").distinct(), "part")
     level = filters.join(shards, "shard").select(F.floor(F.col("part") / FAN).alias("part"), "prefix", "entries")
     depth = digits[0]
@@ -95,32 +97,87 @@ def ngram_counts(docs: DataFrame, lang_col: str, text_col: str, least: int) -> t
     return known, written(grams), totals
 
 
+def _vocabulary(batches: Batches) -> Batches:
+    """Distinct (language, word) of every unit of chunks with their counts."""
+    unit, held, rows = None, [], 0
+    for batch in batches:
+        for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body")):
+            if held and chunk >> UNIT_BITS != unit:
+                yield from _words_of(unit, held)
+                held, rows = [], 0
+            unit = chunk >> UNIT_BITS
+            for piece in unpack(body):
+                held.append(_occurrences(piece)[0])
+                rows += len(held[-1])
+                if rows > 2 * len(held[0]) and rows > WORDS:
+                    held = [_summed(held)]
+                    rows = len(held[0])
+    if held:
+        yield from _words_of(unit, held)
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")]).select(["lang", "word", "n_sum"]).rename_columns(["lang", "word", "n"])
+
+
+def _words_of(unit: int, tables: list[pa.Table]) -> Batches:
+    for part in _summed(tables).to_batches(max_chunksize=10_000):
+        yield record({"unit": np.full(part.num_rows, unit), "lang": part.column("lang"), "word": part.column("word"), "n": part.column("n")})
+
+
+def _named(lang: pa.Array, word: pa.Array) -> pa.Array:
+    """Language and word as one value; a language's bytes come with their length, so no two pairs are alike."""
+    names = lang.dictionary_encode()
+    heads = pa.array([len(x.encode()).to_bytes(4, "little") + x.encode() for x in names.dictionary.to_pylist()], pa.binary())
+    return pc.binary_join_element_wise(heads.take(names.indices), word, pa.scalar(b"", pa.binary()))
+
+
 def _counting(bits: int, prefix_bits: int) -> Callable[[Batches], Batches]:
-    """Chunks with their words' ids to slices of filters; a task cuts a filter when it has ``ENTRIES`` entries."""
+    """Units (their words with ids, then their chunks) to slices of filters; a task cuts a filter when it has ``ENTRIES`` entries."""
 
     def run(batches: Batches) -> Batches:
-        shard, held = TaskContext.get().partitionId() << 32, []
+        shard, held, unit, parts, values, ids = TaskContext.get().partitionId() << 32, [], None, [], None, None
         for batch in batches:
-            for body, ids in zip(batch.column("body"), batch.column("ids")):
-                *_, n, place, follows = _occurrences(body)
-                pairs = ids.values.to_numpy()
-                of_place = np.zeros(len(n), np.int64)
-                of_place[pairs >> 32] = pairs & 0xFFFFFFFF
-                word = of_place[place]
-                joined = follows[:-1] & (word[:-1] > 0) & (word[1:] > 0)
-                two = np.flatnonzero(joined)
-                three = two[joined[np.minimum(two + 1, len(joined) - 1)] & (two + 1 < len(joined))]
-                grams = np.stack([np.append(word[two], word[three]), np.append(word[two + 1], word[three + 1]), np.append(np.zeros(len(two), np.int64), word[three + 2])])
-                held.append(count(*permute(grams, bits), np.ones(grams.shape[1], np.uint64), bits))
-                if sum(len(f.high) for f in held) > ENTRIES:
-                    yield from _rows(shard, merge(held, bits), bits, prefix_bits)
-                    shard, held = shard + 1, []
+            is_text = np.asarray(batch.column("chunk")) >= 0
+            edges = [0, *(np.flatnonzero(np.diff(is_text.astype(np.int8))) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:]):
+                part = batch.slice(a, b - a)
+                if not is_text[a]:
+                    parts.append(part)
+                    continue
+                if parts:
+                    table = pa.Table.from_batches(parts).combine_chunks()
+                    parts, unit = [], table.column("unit")[0].as_py()
+                    values, ids = _named(table.column("lang").combine_chunks(), table.column("word").combine_chunks()), table.column("id").to_numpy()
+                for body, own in zip(part.column("body"), part.column("unit").to_pylist()):
+                    if own != unit:
+                        continue  # A unit without a frequent word.
+                    for piece in unpack(body):
+                        held.append(_grams(piece, values, ids, bits))
+                        if sum(len(f.high) for f in held) > ENTRIES:
+                            yield from _rows(shard, merge(held, bits), bits, prefix_bits)
+                            shard, held = shard + 1, []
         if held:
             yield from _rows(shard, merge(held, bits), bits, prefix_bits)
 
     return run
 
 
+def _grams(piece: pa.RecordBatch, values: pa.Array, ids: np.ndarray, bits: int) -> Filter:
+    """The pairs and triples of a piece whose words all have ids."""
+    table, place, follows = _occurrences(piece)
+    at = pc.index_in(_named(table.column("lang").combine_chunks(), table.column("word").combine_chunks()), value_set=values)
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    of_place = np.where(known, ids[at.fill_null(0).to_numpy()], 0)
+    word = of_place[place]
+    joined = follows[:-1] & (word[:-1] > 0) & (word[1:] > 0)
+    two = np.flatnonzero(joined)
+    three = two[(two + 1 < len(joined)) & joined[np.minimum(two + 1, len(joined) - 1)]]
+    third = np.append(np.zeros(len(two), np.int64), word[three + 2])
+    grams = np.stack([np.append(word[two], word[three]), np.append(word[two + 1], word[three + 1]), third])
+    return count(*permute(grams, bits), np.ones(grams.shape[1], np.uint64), bits)
+
+
 def _rows(shard: int, whole: Filter, bits: int, prefix_bits: int) -> Batches:
     cut = list(slices(whole, bits, prefix_bits))
     for at in range(0, len(cut), 64):

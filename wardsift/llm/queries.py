@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with SQL where it can express them."""
+"""Registered queries of the operators, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks.registry import query
 from wardsift.llm.op1_decontamination import contaminated
 from wardsift.llm.op11_phrases import collocations
+from wardsift.llm.op12_toxicity import toxicity
 from wardsift.llm.op13_negatives import hard_negatives
 from wardsift.llm.op10_language import identify, train
 from wardsift.llm.op2_simhash import simhash_groups
@@ -200,6 +201,11 @@ def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return collocations(documents(spark, sf))
 
 
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 OP13_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

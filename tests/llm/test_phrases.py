@@ -84,6 +84,7 @@ def test_rows_equal_brute_force(spark, monkeypatch):
     # Many small filters, prefixes and levels.
     monkeypatch.setattr(op11_phrases, "SLICE_BYTES", 1 << 11)
     monkeypatch.setattr(op11_phrases, "ENTRIES", 1)
+    monkeypatch.setattr(op11_phrases, "PART_BYTES", 1 << 12)
     monkeypatch.setattr(op11_phrases, "FAN", 2)
     monkeypatch.setattr(op11_phrases, "FAN_BITS", 2)
     assert sorted(tuple(r) for r in collocations(docs, top=7).collect()) == brute(rows, top=7)

@@ -32,6 +32,7 @@ _IS_BREAK[list(BREAKS)] = True
 _IS_GAP = IS_SPACE | _IS_BREAK
 SLICE_BYTES = 1 << 22
 ENTRIES = 1 << 20
+PART_BYTES = 1 << 23
 #: Chunks of a unit (as a power of two), whose words are sent together, and words that a task holds before it sums them.
 UNIT_BITS = 4
 WORDS = 500_000
@@ -81,18 +82,15 @@ def ngram_counts(docs: DataFrame, lang_col: str, text_col: str, least: int) -> t
     prefix_bits = min(bits, max(0, math.ceil(math.log2(max(1, text / SLICE_BYTES)))))
     digits = [min(FAN_BITS, prefix_bits - at) for at in range(0, prefix_bits, FAN_BITS)] or [0]
 
-    filters = written(mapped(units, _counting(bits, digits[0]), "shard long, prefix long, entries binary"))
-    shards = numbered(filters.select("shard").distinct(), "part")
-    level = filters.join(shards, "shard").select(F.floor(F.col("part") / FAN).alias("part"), "prefix", "entries")
-    depth = digits[0]
-    for more in digits[1:]:
-        merged = level.groupBy("part", "prefix").applyInPandas(_merging(bits, depth, depth + more), "part long, prefix long, entries binary")
-        level, depth = merged.select(F.floor(F.col("part") / FAN).alias("part"), "prefix", "entries"), depth + more
-    # Filters that are more than these levels take are merged by parts until one merge has them all.
-    most = max(0, shards.count() - 1) // FAN ** len(digits)
-    while most:
-        merged = level.groupBy("part", "prefix").applyInPandas(_merging(bits, depth, depth), "part long, prefix long, entries binary")
-        level, most = merged.select(F.floor(F.col("part") / FAN).alias("part"), "prefix", "entries"), most // FAN
+    # A filter holds some megabytes of text, so about FAN of them come to a part; parts are dealt by digest and merge in turn.
+    parts = math.ceil(text / (FAN * PART_BYTES)) or 1
+    filters = mapped(units, _counting(bits, digits[0]), "shard long, prefix long, entries binary")
+    level, depth = filters.select(F.pmod(F.xxhash64("shard"), F.lit(parts)).alias("part"), "prefix", "entries"), digits[0]
+    while len(digits) > 1 or parts > 1:
+        to = depth + (digits.pop(1) if len(digits) > 1 else 0)
+        merged = level.groupBy("part", "prefix").applyInPandas(_merging(bits, depth, to), "part long, prefix long, entries binary")
+        parts, depth = math.ceil(parts / FAN), to
+        level = merged.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(parts)))
     grams = level.groupBy("prefix").applyInPandas(_reading(bits, depth, least), "w1 long, w2 long, w3 long, f long")
     return known, written(grams), totals
 

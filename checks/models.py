@@ -1,8 +1,8 @@
-"""Model queries.  Iterative fits have no SQL twin; tests compare them with an independent solver."""
+"""Model queries.  Those without SQL are held to the optimality conditions of every model (:mod:`checks.model_optimality`) and, in
+tests, to an independent solver."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardsift.operators.models import ModelConfig, coefficient_table, score_fits, fit_table
@@ -20,6 +20,7 @@ from wardsift.plans.train import (
 )
 from wardsift.session import cut_lineage
 
+from .model_optimality import SQL_HOLDOUT, SQL_WHOLE, sql_scores
 from .registry import query
 from .splits import SPEC, training_rows
 from .views import docs, truth
@@ -62,7 +63,7 @@ def logreg_topk_validation(spark: SparkSession, sf: str) -> DataFrame:
     return validate_top(rows, top, FOLDS).best_t_results
 
 
-@query("logreg_scores")
+@query("logreg_scores", sql_scores(SQL_HOLDOUT, ModelConfig(C=1.0, l1_ratio=1.0)))
 def logreg_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every labelled report scored by one L1 model fitted on the train side of a holdout split."""
     rows = training_rows(spark, sf)
@@ -72,12 +73,11 @@ def logreg_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("case_id", "label", F.round("score", 4).alias("score"))
 
 
-@query("logreg_final_model")
+@query("logreg_final_model", sql_scores(SQL_WHOLE, ModelConfig(class_weight="balanced")))
 def logreg_final_model(spark: SparkSession, sf: str) -> DataFrame:
-    """MLlib pipeline on all labelled reports, applied to them."""
+    """MLlib model of all labelled reports, applied to them as an expression."""
     rows = cut_lineage(training_rows(spark, sf))
-    scored = final_model(rows).pipeline().transform(rows)
-    return scored.select("case_id", "label", F.round(vector_to_array("probability")[1], 4).alias("score"))
+    return rows.select("case_id", "label", F.round(final_model(rows).probability(), 4).alias("score"))
 
 
 @query("logreg_coefficients")

@@ -264,6 +264,9 @@ def test_missing_category_in_a_train_side(spark, signals):
 def test_scores_equal_the_saved_pipeline(spark, signals, tmp_path):
     model = final_model(signals)
     save_model(model.pipeline(), str(tmp_path / "model"))
+    applied = {r.case_id: r.p for r in signals.select("case_id", model.probability().alias("p")).collect()}
+    unseen = signals.limit(1).selectExpr("* EXCEPT (severity)", "'never seen' AS severity").unionByName(signals.limit(1).selectExpr("* EXCEPT (severity)", "CAST(NULL AS STRING) AS severity"))
+    assert all(0 < r.p < 1 for r in unseen.select(model.probability().alias("p")).collect())
     ml = load_model(str(tmp_path / "model")).transform(signals).select("case_id", vector_to_array("probability")[1].alias("p"))
     own = score_fits(signals.withColumn("split_id", F.lit(1)), fit_table(spark, {(0, 1): model}))
     worst = own.join(ml, "case_id").agg(F.max(F.abs(F.col("p") - F.col("score")))).first()[0]
@@ -309,6 +312,27 @@ def test_shortcut_probe(spark, signals):
     assert r["n_folds"] == 5 and 0 < r["f1_mean"] < 1 and r["f1_std"] >= 0
 
 
+def test_folds_fitted_together_equal_single_fits_and_stay_in_the_jvm(spark, signals):
+    from wardsift.operators.features import Preprocessor
+    from wardsift.operators.fold_fits import fit_folds
+
+    names = ["n_risk_factors", "n_missing_information", "large"]
+    table = stratified_folds(signals.withColumn("large", F.col("case_id") * 1000.0), "case_id", "label", 3).withColumn("weight", F.lit(1)).select(*names, "label", "weight", "fold")
+    table = table.unionByName(table.limit(5).withColumn("weight", F.lit(4))).cache()
+    together = fit_folds(table, names, 3)
+    plain = Preprocessor(FeatureSpec(tuple(names), ()), dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0))
+    for f, model in together.items():
+        alone = fit_logistic(table.filter(F.col("fold") != f), plain, ModelConfig(penalise_intercept=False))
+        probabilities = table.select(F.abs(model.probability() - alone.probability()).alias("d"))
+        assert probabilities.agg(F.max("d")).first()[0] < 1e-4 and model.converged
+    with pytest.raises(ValueError, match="have not converged"):
+        fit_folds(table, names, 3, ModelConfig(penalise_intercept=False, max_iter=1))
+    with pytest.raises(ValueError, match="L2"):
+        fit_folds(table, names, 3, ModelConfig(l1_ratio=1.0, penalise_intercept=False))
+    metrics = signals.select("case_id", "label", *[F.col("n_risk_factors").cast("double").alias(n) for n in ("n_words", "n_chars", "n_sentences", "digit_ratio", "upper_ratio", "punct_ratio")])
+    assert "MapInPandas" not in shortcut_probe(metrics)._jdf.queryExecution().toString()
+
+
 def _small_training(spark):
     rows = [(i, 0.1 * (i % 7), i % 3, i % 2, "low" if i % 4 else "high", "medium", "clear", "en", int((i * 7) % 5 > 2)) for i in range(60)]
     return spark.createDataFrame(

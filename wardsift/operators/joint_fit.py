@@ -277,6 +277,7 @@ def fit_jointly(
         done[good] = settled & (np.abs(change) <= TOLERANCE * (1.0 + np.abs(best_value[good])))
         done[a] |= np.abs(step[a]).max(axis=1) < 1e-14
         beta = moved
+        best[done] = moved[done]  # the last step, too small to be tested, still sharpens the slopes
         converged |= done
         active = a[~done[a]]
     if strict and not converged.all():

@@ -51,6 +51,17 @@ class FittedModel:
         levels = {f"{c}={level}": w for (c, level), w in zip(prep.levels, self.coefficients[n:])}
         return self.intercept - shift, slopes, levels
 
+    def probability(self) -> Column:
+        """Probability of class 1 as an expression over the raw features: the model's numbers are part of the plan, so scoring needs
+        no function that the session would have to send to its tasks."""
+        intercept, slopes, levels = self.raw_form()
+        margin = F.lit(intercept)
+        for slope, c in zip(slopes, self.preprocessor.spec.numeric, strict=True):
+            margin = margin + F.lit(slope) * F.col(c).cast("double")
+        for (c, level), weight in zip(self.preprocessor.levels, levels.values(), strict=True):
+            margin = margin + F.when(F.col(c) == level, F.lit(weight)).otherwise(0.0)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+
     def pipeline(self) -> PipelineModel:
         """Preparation and model as one savable pipeline (models of :func:`fit_logistic` only)."""
         if self.model is None:

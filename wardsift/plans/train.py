@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.labels import decision_at
 from ..operators.evaluation import classification_report, confusion, with_binary_metrics
-from ..operators.features import FeatureSpec, Preprocessor, check_features, compress_patterns, fit_preprocessor
+from ..operators.features import FeatureSpec, check_features, compress_patterns, fit_preprocessor
+from ..operators.fold_fits import fit_folds
 from ..operators.frames import sort_top_k
 from ..operators.models import FittedModel, ModelConfig, coefficient_table, fit_logistic, fit_table, score_fits
 from ..operators.splits import SEED, stratified_folds
@@ -169,7 +170,7 @@ def shortcut_probe(
 ) -> DataFrame:
     """How well surface metrics alone predict the label: F1 per fold, mean and population std.
 
-    Surface metrics hardly repeat, so there are no patterns to compress: each fold is one MLlib fit over the rows, which
+    Surface metrics hardly repeat, so there are no patterns to compress: all folds are fitted together over the rows, which
     stay in the JVM.
     """
     spec = FeatureSpec(tuple(features), ())
@@ -178,10 +179,8 @@ def shortcut_probe(
     folded = stratified_folds(narrow, key, "label", n_folds, seed)
     table = cut_lineage(folded.withColumn("weight", F.lit(1)))
     check_features(table, spec, 0)
-    plain = Preprocessor(spec, dict.fromkeys(features, 0.0), dict.fromkeys(features, 1.0))
-    config = ModelConfig(penalise_intercept=False)
-    models = {(0, f): fit_logistic(table.filter(F.col("fold") != f), plain, config) for f in range(1, n_folds + 1)}
-    fits = fit_table(metrics.sparkSession, models)
+    models = fit_folds(table, features, n_folds)
+    fits = fit_table(metrics.sparkSession, {(0, f): m for f, m in models.items()})
     scored = score_fits(table.withColumnRenamed("fold", "split_id"), fits, spec)
     decided = scored.withColumn("prediction", decision_at("score", 0.5))
     per_fold = with_binary_metrics(confusion(decided, ["split_id"], weight_col="weight"))

@@ -20,10 +20,12 @@ from wardsift.plans.train import (
 )
 from wardsift.session import cut_lineage
 
+from .evaluation import SQL_CELLS, SQL_METRICS, rounded
 from .model_optimality import SQL_HOLDOUT, SQL_WHOLE, sql_scores
 from .registry import query
 from .splits import SPEC, training_rows
-from .views import docs, truth
+from .texts import SQL_METRICS as SQL_TEXT_METRICS
+from .views import SQL_DOCS, SQL_TRUTH, docs, truth
 
 SEARCH_SPLITS = 30
 SHUFFLE_SPLITS = 50
@@ -86,8 +88,40 @@ def logreg_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     return coefficient_table(spark, cross_fit(data, [ModelConfig()]))
 
 
-@query("shortcut_probe")
+def _probe_sql(steps: int = 15) -> str:
+    """Newton steps for all folds over scaled metrics and a constant; each system is solved by elimination over a list of rows."""
+    n = len(PROBE_FEATURES) + 1
+    z = range(1, n + 1)
+    scale = ", ".join(f"avg({c}) AS mean_{c}, stddev_pop({c}) AS std_{c}" for c in PROBE_FEATURES)
+    ridge = [*[f"1 / std_{c} ** 2" for c in PROBE_FEATURES], "0"]
+    margin = " + ".join(f"f.b[{k}] * z{k}" for k in z)
+    rows = ", ".join("[" + ", ".join([f"h{min(a, b)}_{max(a, b)}" + (f" + {ridge[a - 1]}" if a == b else "") for b in z] + [f"g{a} + {ridge[a - 1]} * b[{a}]"]) + "]" for a in z)
+    k = "CAST(s[1][1] AS INTEGER)"
+    eliminate = f"""list_transform(m, lambda row, i: CASE WHEN i = {k} THEN list_transform(row, lambda v: v / row[{k}])
+      ELSE list_transform(row, lambda v, j: v - row[{k}] * m[{k}][j] / m[{k}][{k}]) END)"""
+    return f"""WITH RECURSIVE {SQL_DOCS}, {SQL_TRUTH}, {SQL_TEXT_METRICS},
+mrows AS (SELECT metrics.*, CAST(expected_action = 'escalation' AS INTEGER) AS y FROM metrics JOIN truth USING (case_id)),
+cut AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('folds|42|0|' || case_id)) AS rn, count(*) OVER (PARTITION BY y) AS n FROM mrows),
+scale AS (SELECT {scale} FROM mrows),
+folded AS (SELECT y, {", ".join(f"CAST(({c} - mean_{c}) / std_{c} AS DOUBLE) AS z{i}" for i, c in enumerate(PROBE_FEATURES, 1))}, CAST(1 AS DOUBLE) AS z{n},
+  1 + {" + ".join(f"(rn > ceil(CAST({i / FOLDS} AS DOUBLE) * n))::INT" for i in range(1, FOLDS))} AS fold FROM cut, scale),
+pivots AS (SELECT list([[CAST(i AS DOUBLE)]] ORDER BY i) AS ks FROM range(1, {n + 1}) t(i)),
+fit AS (
+  SELECT fold, 0 AS it, list_transform(range({n}), lambda k: CAST(0 AS DOUBLE)) AS b FROM range(1, {FOLDS + 1}) r(fold)
+  UNION ALL
+  SELECT fold, it + 1, list_transform(b, lambda v, i: v - list_reduce(ks, lambda m, s: {eliminate}, [{rows}])[i][{n + 1}])
+  FROM (SELECT fold, it, b, {", ".join(f"sum((p - y) * z{a}) AS g{a}" for a in z)},
+               {", ".join(f"sum(p * (1 - p) * z{a} * z{b}) AS h{a}_{b}" for a in z for b in z if a <= b)}
+        FROM (SELECT f.fold, f.it, f.b, d.* EXCLUDE (fold), CAST(1 AS DOUBLE) / (1 + exp(-({margin}))) AS p
+              FROM fit f JOIN folded d ON d.fold <> f.fold WHERE f.it < {steps})
+        GROUP BY fold, it, b), scale, pivots),
+cells AS (SELECT fold, {SQL_CELLS} FROM (SELECT d.fold, d.y = 1 AS y, {margin} >= 0 AS p FROM folded d JOIN fit f ON f.fold = d.fold AND f.it = {steps}) GROUP BY fold),
+per_fold AS (SELECT fold, {SQL_METRICS} FROM cells)
+SELECT count(*) AS n_folds, round(avg(f1), 4) AS f1_mean, round(stddev_pop(f1), 4) AS f1_std FROM per_fold"""
+
+
+@query("shortcut_probe", _probe_sql())
 def shortcut_probe_query(spark: SparkSession, sf: str) -> DataFrame:
     measured = with_text_metrics(docs(spark, sf)).select("case_id", *PROBE_FEATURES)
     label = (F.col("expected_action") == "escalation").cast("int")
-    return shortcut_probe(measured.join(truth(spark, sf), "case_id").withColumn("label", label))
+    return rounded(shortcut_probe(measured.join(truth(spark, sf), "case_id").withColumn("label", label)), 4)

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from .features import FeatureSpec, Preprocessor
 from .models import FittedModel, ModelConfig
 
-TOLERANCE = 1e-12
+#: Predicted gain (relative to the loss) below which a step is taken untested: the next one would gain its square.
+TOLERANCE = 1e-9
 
 
 def _scales(table: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +78,8 @@ def fit_folds(table: DataFrame, features: Sequence[str], n_folds: int, config: M
                 done[f] = abs(slope @ step[f]) <= TOLERANCE * (1.0 + abs(value))
             beta[f] = best[f] + step[f]
             done[f] |= np.abs(step[f]).max() < 1e-14
+            if done[f]:
+                best[f] = beta[f]
     spec = FeatureSpec(tuple(features), ())
     plain = Preprocessor(spec, dict.fromkeys(features, 0.0), dict.fromkeys(features, 1.0))
     return {

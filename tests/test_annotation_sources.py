@@ -311,3 +311,35 @@ def test_list_literals_with_constants(spark):
     texts = ["['a' , None]", "[True, 'None, x', False]", "[None", "['it\\'s None', None]"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_list_text("t").alias("l")).collect()
     assert [r.l for r in rows] == [["a", None], ["True", "None, x", "False"], [], ["it's None", None]]
+
+
+def _bytes_read(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).inputBytes() for i in range(stages.size()))
+
+
+def test_headers_are_read_without_the_files(spark, tmp_path):
+    from wardsift.sources.headers import _by_text_reader, first_line
+
+    names = ["a b.csv", "c%20d.csv", "e.csv", "empty.csv", "one line.csv"]
+    texts = ["x;ä\n1;2\n", "x;y\r\n1;2\r\n", "x;z\r3;4\r", "", "only;header"]
+    for name, text in zip(names, texts):
+        (tmp_path / name).write_bytes(text.encode("latin-1"))
+    got = R.header_lines(spark, str(tmp_path))
+    assert {p.rsplit("/", 1)[1]: h for p, h in got.items()} == dict(zip([n for n in names if n != "empty.csv"], ["x;ä", "x;y", "x;z", "only;header"]))
+    spark_way = _by_text_reader(spark, [(tmp_path / n).as_uri() for n in (names[0], names[2])])
+    assert sorted(bytes(r.line).decode("latin-1") for r in spark_way.collect()) == ["x;z", "x;ä"]
+    with open(tmp_path / "huge", "wb") as f:  # a sparse file of a terabyte
+        f.write(b"q;r\n")
+        f.truncate(1 << 40)
+    assert first_line((tmp_path / "huge").as_uri()) == b"q;r"
+
+
+def test_a_folder_is_read_once(spark, tmp_path):
+    line = "1;" + "x" * 200
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("Accident_Id;v\n" + (line + "\n") * 5000)
+    before = _bytes_read(spark)
+    assert R.read_folder(spark, str(tmp_path)).count() == 15_000
+    size = sum(p.stat().st_size for p in tmp_path.iterdir())
+    assert size <= _bytes_read(spark) - before < 1.2 * size

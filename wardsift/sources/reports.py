@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions.labels import lenient_double
 from ..operators.frames import compute_once, drop_columns
 from ..schemas import ESCALATE, NO_ESCALATE, REPORTS, UNTRAINED_COLUMNS
+from .headers import first_lines
 
 # Names of the known dataset versions, delimiters in order of preference, and the
 # id spellings that are unified when folders are read.
@@ -77,14 +78,9 @@ def delimiter_of(header: str) -> str:
 
 
 def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines (``value``, decoded) with ``path``, ``block`` (where the task's part of the file begins) and ``number``."""
+    """Lines (``value``, decoded) of all files."""
     raw = spark.read.text(paths if isinstance(paths, str) else list(paths))
-    return raw.select(
-        F.decode(F.col("value").cast("binary"), ENCODING).alias("value"),
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("number"),
-    )
+    return raw.select(F.decode(F.col("value").cast("binary"), ENCODING).alias("value"))
 
 
 def _read_dialect(spark: SparkSession, paths: str | Sequence[str], header: str) -> DataFrame:
@@ -100,8 +96,7 @@ def _read_dialect(spark: SparkSession, paths: str | Sequence[str], header: str)
     # A mark after the last field tells how many fields there are, empty ones included.
     fields, mark = [f"_{i}" for i in range(len(names) + 1)], "\x02"
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    lines = _lines(spark, paths).select("value")
-    lines = lines.where((F.col("value") != header) & (F.trim("value") != ""))
+    lines = _lines(spark, paths).where((F.col("value") != header) & (F.trim("value") != ""))
     row = F.from_csv(F.concat("value", F.lit(delimiter + mark)), ", ".join(f"{f} string" for f in fields), options)
     parsed = compute_once(lines, {"_row": row})
     fits = F.array_contains(F.array(*[F.col("_row")[f] for f in fields]), mark)
@@ -143,9 +138,8 @@ def unify_ids(df: DataFrame, spellings: Mapping[str, str] = ID_SPELLINGS) -> Dat
 
 
 def header_lines(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
-    """First line of every file below ``paths``, in one job; only a line per file and task is kept."""
-    first = _lines(spark, paths).groupBy("path").agg(F.min_by("value", F.struct("block", "number")).alias("header"))
-    return {unquote(r["path"]): r["header"] for r in first.collect()}
+    """First line of every file below ``paths``, in one job that reads no further; files without lines are left out."""
+    return {unquote(r["path"]): bytes(r["line"]).decode(ENCODING) for r in first_lines(spark, paths).collect()}
 
 
 def read_folder(spark: SparkSession, folder: str, numeric: Sequence[str] = ()) -> DataFrame:

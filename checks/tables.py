@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wardsift.operators.frames import drop_columns, integrity, rename_by_split
-from wardsift.schemas import LEDGER
+from wardsift.schemas import LEDGER, REPORTS
 from wardsift.session import ensure_checkpoint_dir
 from wardsift.sources.reports import (
     decimal_comma,
@@ -24,6 +24,7 @@ from wardsift.sources.reports import (
     read_runs,
     union_runs,
 )
+from wardsift.sources.quoted import read_quoted_csv
 from wardsift.sources.tables import (
     append_cache,
     append_json,
@@ -112,6 +113,19 @@ def reports_csv(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(*columns[:4], F.sha2("report_text", 256).alias("text_sha"), "comment")
 
 
+@query(
+    "reports_csv_split",
+    f"""WITH {SQL_REPORTS} SELECT case_id, domain, clarity, expected_action, sha256(report_text) AS text_sha, NULL AS comment FROM reports""",
+)
+def reports_csv_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The same file, its quoted line breaks included, read by as many tasks as it has parts."""
+    path = _folder(spark)
+    columns = ["case_id", "domain", "clarity", "expected_action", "report_text"]
+    write_result(reports(spark, sf).select(*columns), path, fmt="csv")
+    back = read_quoted_csv(spark, path, REPORTS)
+    return back.select(*columns[:4], F.sha2("report_text", 256).alias("text_sha"), "comment")
+
+
 @query(
     "runs_csv",
     f"""WITH {SQL_SIGNALS} SELECT case_id, severity, NULL AS confidence FROM signals WHERE clarity = 'clear'

@@ -1,5 +1,6 @@
 """Annotation path, sources, sinks, whole runs and plan shapes."""
 
+import random
 import json
 from datetime import datetime
 
@@ -343,3 +344,33 @@ def test_a_folder_is_read_once(spark, tmp_path):
     assert R.read_folder(spark, str(tmp_path)).count() == 15_000
     size = sum(p.stat().st_size for p in tmp_path.iterdir())
     assert size <= _bytes_read(spark) - before < 1.2 * size
+
+
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from wardsift.sources.quoted import _open_parts, _parts, read_quoted_csv
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        parts = [rng.choice(["plain", "a, b", 'say ""yes""', "line\nbreak", "\n\n", '""', "x" * 90]) for _ in range(rng.randint(1, 6))]
+        rows.append(f'{i},"{" ".join(parts)}",{"" if i % 7 == 0 else "tail"}')
+    rows[400] = '400,"' + "long\n" * 9000 + '",tail'  # one record over many parts
+    (tmp_path / "a.csv").write_text("id,body,more\n" + "\n".join(rows) + "\n")
+    (tmp_path / "b.csv").write_text('id,body,more\n7000,"first\nrecord",z\n\n7001,"open at the end\nof the file')
+    schema = T.StructType([T.StructField("more", T.StringType()), T.StructField("id", T.LongType()), T.StructField("body", T.StringType()), T.StructField("none", T.StringType())])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = _parts(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 8
+        states = _open_parts(lines).collect()
+        assert {r["open"] for r in states} == {True, False}
+        got = sorted(tuple(r) for r in read_quoted_csv(spark, str(tmp_path), schema).select("id", "body", "more", "none").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    plain = spark.read.csv(str(tmp_path / "a.csv"), header=True, multiLine=True, escape='"', schema="id long, body string, more string")
+    want = sorted((*r, None) for r in plain.collect())
+    assert [r for r in got if r[0] < 7000] == want and len(want) == 900
+    assert [r for r in got if r[0] >= 7000] == [(7000, "first\nrecord", "z", None), (7001, "open at the end\nof the file", None, None)]

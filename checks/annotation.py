@@ -155,29 +155,25 @@ def cache_hit_miss(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-BUCKETS = 64
-
-SQL_NUMBERED = f"""bucketed AS (SELECT *, CAST('0x' || substr(cache_key, 1, 8) AS BIGINT) % {BUCKETS} AS bucket FROM misses),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY cache_key) - 1 AS rn FROM bucketed),
+SQL_NUMBERED = """numbered AS (SELECT *, row_number() OVER (ORDER BY cache_key) - 1 AS rn FROM misses),
 batched AS (SELECT *, rn // 5 AS batch, rn % 5 AS pos FROM numbered)"""
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
     _, misses = _probe(spark, sf)
-    return build_requests(misses, BUCKETS)
+    return build_requests(misses)
 
 
 @query(
     "batch_requests",
     f"""WITH {SQL_DOCS}, {SQL_KEYED}, {SQL_CACHE}, {SQL_NUMBERED}
-SELECT bucket, batch, count(*) AS n, string_agg(cache_key, ',' ORDER BY pos) AS cache_keys,
-       CAST(sum(length(report_text)) AS BIGINT) AS n_chars FROM batched GROUP BY bucket, batch""",
+SELECT batch, count(*) AS n, string_agg(cache_key, ',' ORDER BY pos) AS cache_keys,
+       CAST(sum(length(report_text)) AS BIGINT) AS n_chars FROM batched GROUP BY batch""",
 )
 def batch_requests(spark: SparkSession, sf: str) -> DataFrame:
     items = F.from_json("texts_json", "array<struct<id: int, text: string>>")
     chars = F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, i: acc + F.length(i["text"]))
     return _requests(spark, sf).select(
-        "bucket",
         "batch",
         F.size("cache_keys").alias("n"),
         F.concat_ws(",", "cache_keys").alias("cache_keys"),
@@ -188,21 +184,21 @@ def batch_requests(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "batch_request_bodies",
     f"""WITH {SQL_DOCS}, {SQL_KEYED}, {SQL_CACHE}, {SQL_NUMBERED},
-items AS (SELECT bucket, batch, to_json(list({{'id': pos, 'text': report_text}} ORDER BY pos)) AS texts FROM batched GROUP BY bucket, batch)
-SELECT bucket, batch, sha256(concat_ws(chr(10), '{{0}}', 'JSON schema:', '{{1}}', '{{2}}', 'Reports:', texts)) AS request_sha FROM items""".replace(
+items AS (SELECT batch, to_json(list({{'id': pos, 'text': report_text}} ORDER BY pos)) AS texts FROM batched GROUP BY batch)
+SELECT batch, sha256(concat_ws(chr(10), '{{0}}', 'JSON schema:', '{{1}}', '{{2}}', 'Reports:', texts)) AS request_sha FROM items""".replace(
         "{0}", PROMPT_TEXT.replace("'", "''")
     ).replace("{1}", RECORD_SCHEMA.replace("'", "''")).replace("{2}", ALLOWED_VALUES.replace("'", "''")),
 )
 def batch_request_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """Whole requests: instructions, record schema, allowed values and the texts of a batch."""
     whole = request_body(_requests(spark, sf), PROMPT_TEXT, RECORD_SCHEMA, ALLOWED_VALUES)
-    return whole.select("bucket", "batch", F.sha2("request", 256).alias("request_sha"))
+    return whole.select("batch", F.sha2("request", 256).alias("request_sha"))
 
 
 @query(
     "batch_unpack",
     f"""WITH {SQL_DOCS}, {SQL_KEYED}, {SQL_CACHE}, {SQL_NUMBERED},
-sized AS (SELECT *, count(*) OVER (PARTITION BY bucket, batch) AS n FROM batched)
+sized AS (SELECT *, count(*) OVER (PARTITION BY batch) AS n FROM batched)
 SELECT cache_key, CASE WHEN batch % 7 = 6 OR (batch % 3 = 1 AND pos = n - 1) THEN NULL
                        ELSE '{{"n_chars":' || length(report_text) || '}}' END AS raw_json FROM sized""",
 )
@@ -214,7 +210,7 @@ def batch_unpack(spark: SparkSession, sf: str) -> DataFrame:
     kept = F.when(F.col("batch") % 3 == 1, F.slice(records, 1, F.size("cache_keys") - 1)).otherwise(records)
     whole = requests.withColumn("_json", F.to_json(kept))
     cut = F.when(F.col("batch") % 7 == 6, F.expr("substr(_json, 1, length(_json) - 3)")).otherwise(F.col("_json"))
-    responses = whole.select("bucket", "batch", cut.alias("raw_json"))
+    responses = whole.select("batch", cut.alias("raw_json"))
     return unpack_responses(requests, responses)
 
 

@@ -14,6 +14,7 @@ from wardsift.functions.signals import parse_list_text
 from wardsift.operators.annotation import (
     annotate,
     build_requests,
+    numbered_keys,
     normalize_responses,
     per_batch,
     per_text,
@@ -90,8 +91,10 @@ def test_probe_asks_for_each_missing_text_once(spark):
 
 def test_requests_and_responses(spark):
     _, misses = probe_cache(_keyed(spark), spark.createDataFrame([], "cache_key string, raw_json string"))
-    requests = build_requests(misses, 3).cache()
-    assert all(len(r["cache_keys"]) <= 5 for r in requests.collect())
+    requests = build_requests(misses).cache()
+    assert sorted(len(r["cache_keys"]) for r in requests.collect()) == [2, 5, 5, 5]
+    keys = [k for r in sorted(requests.collect(), key=lambda r: r["batch"]) for k in r["cache_keys"]]
+    assert keys == sorted(keys)
     assert sum(len(r["cache_keys"]) for r in requests.collect()) == 17
     body = request_body(requests, "do it", "{}", "allowed").first()["request"]
     assert body.startswith("do it\nJSON schema:\n{}\nallowed\nReports:\n[{")
@@ -101,14 +104,49 @@ def test_requests_and_responses(spark):
         texts = json.loads(r["texts_json"])
         assert [t["text"] for t in texts] == [sent[k] for k in r["cache_keys"]]
         answer = json.dumps([{"severity": "low", "n": t["id"]} for t in texts[: len(texts) - (i == 0)]])
-        responses.append((r["bucket"], r["batch"], answer if i != 1 else answer[:-3]))
-    schema = requests.select("bucket", "batch").schema.add("raw_json", "string")
+        responses.append((r["batch"], answer if i != 1 else answer[:-3]))
+    schema = requests.select("batch").schema.add("raw_json", "string")
     unpacked = unpack_responses(requests, spark.createDataFrame(responses, schema))
     first, second = (len(r["cache_keys"]) for r in requests.collect()[:2])
     assert unpacked.count() == 17 and unpacked.filter("raw_json IS NULL").count() == 1 + second
     assert first >= 1
 
 
+def test_requests_sort_no_texts_and_probes_hash_them_once(spark):
+    keyed = _keyed(spark, 200)
+    _, misses = probe_cache(keyed, keyed.filter("case_id < 5").select("cache_key", F.lit("{}").alias("raw_json")))
+    plan = misses._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" not in plan and "_bits" in plan
+    windows = build_requests(misses)._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1:]
+    assert len(windows) == 2 and not any("report_text" in w.splitlines()[0] for w in windows)
+
+
+def test_keys_are_numbered_in_order(spark):
+    keys = sorted(f"{(i * 2654435761) % 2**32:08x}" for i in range(3000))
+    got = numbered_keys(spark.createDataFrame([(k,) for k in keys], "cache_key string").repartition(7), digits=2).collect()
+    assert sorted((r["number"], r["cache_key"]) for r in got) == list(enumerate(keys))
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 16, 1 << 27])
+def test_key_filter_lets_every_key_through(spark, bits):
+    from wardsift.operators.key_filter import key_filter, may_contain
+
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "case_id")
+    built = key_filter(keys.unionByName(spark.createDataFrame([(None,)], "case_id long")), "case_id", bits)
+    assert built.count() <= bits // 32768 + 2
+    passed = {r[0] for r in may_contain(spark.range(6000).withColumnRenamed("id", "case_id"), "case_id", built, bits).collect()}
+    assert set(range(0, 3000, 3)) <= passed
+    if bits == 1 << 27:
+        assert len(passed) < 1010
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    rows = [(1, "a"), (1, "b"), (None, "c"), (None, "c"), (2, "a")]
+    keyed = with_cache_key(spark.createDataFrame(rows, "case_id long, report_text string"), "p", "n")
+    _, misses = probe_cache(keyed, spark.createDataFrame([], "cache_key string, raw_json string"))
+    assert sorted(r["report_text"] for r in misses.collect()) == ["a", "b", "c"]
+
+
 def test_annotators(spark):
     _, misses = probe_cache(_keyed(spark), spark.createDataFrame([], "cache_key string, raw_json string"))
     assert annotate(misses, per_text(lambda t: json.dumps({"n": len(t)}))).count() == 17

@@ -19,10 +19,11 @@ from ..functions.signals import (
 )
 from ..session import cut_lineage
 from .frames import compute_once
+from .key_filter import key_filter, may_contain
 
 BATCH_SIZE = 5
-#: Missing keys (about 100 bytes each) that are sent to the texts instead of moving the texts.
-BROADCAST_KEYS = 200_000
+#: Leading hex digits of a key by which keys are counted before they are numbered.
+PREFIX_DIGITS = 4
 Annotator = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -41,51 +42,50 @@ def latest_responses(cache: DataFrame) -> DataFrame:
 def probe_cache(keyed: DataFrame, cache: DataFrame, key: str = "case_id") -> tuple[DataFrame, DataFrame]:
     """``(hits, misses)``: keyed rows with their stored response, and the texts still to annotate.
 
-    The search runs on keys alone: hits carry no text, distinct keys (counted together before the
-    shuffle, so a text copied a million times is one row per task) are compared with the stored keys, and one
-    row per missing key is written once.  Its text is then picked from the input: a list of up to
-    ``BROADCAST_KEYS`` rows goes to the texts, so that none of them moves; beyond it the texts are shuffled by key.
+    The rows without their text are written once, with their keys, so a text's key is computed once.  The search runs on them: hits
+    carry no text, distinct keys (counted together before the shuffle, so a text copied a million times is one row per
+    task) are compared with the stored keys, and one row per missing key is written.  Its text is then picked from the
+    input by id and 64-bit hash: a Bloom filter of the missing ids, of bounded size, is probed on the scan, and only what it lets through is
+    joined.
     """
     stored = latest_responses(cache)
-    keys = compute_once(keyed, {"cache_key": F.col("cache_key")})
-    hits = keys.drop("report_text").join(stored, "cache_key")
-    missing = cut_lineage(
-        keys.groupBy("cache_key").agg(F.min(key).alias(key)).join(stored.select("cache_key"), "cache_key", "left_anti")
-    )
-    wanted = F.broadcast(missing) if missing.count() <= BROADCAST_KEYS else missing
-    misses = keys.select(key, "cache_key", "report_text").join(wanted, [key, "cache_key"], "left_semi")
-    return hits, misses.select("cache_key", "report_text")
-
+    narrow = cut_lineage(keyed.withColumn("_text", F.xxhash64("report_text")).drop("report_text"))
+    hits = narrow.drop("_text").join(stored, "cache_key")
+    one = narrow.groupBy("cache_key").agg(F.min(F.struct(F.col(key).alias("_id"), "_text")).alias("_row"))
+    missing = cut_lineage(one.join(stored.select("cache_key"), "cache_key", "left_anti").select("cache_key", "_row.*"))
+    texts = keyed.select(F.col(key).alias("_id"), "report_text")
+    candidates = may_contain(texts, "_id", key_filter(missing, "_id")).withColumn("_text", F.xxhash64("report_text"))
+    same = candidates["_id"].eqNullSafe(missing["_id"]) & (candidates["_text"] == missing["_text"])
+    return hits, candidates.join(missing, same).select("cache_key", "report_text").dropDuplicates(["cache_key"])
 
-def request_bucket(num_buckets: int, key: str = "cache_key") -> Column:
-    """Bucket of a key: the number of its first eight hex digits, modulo ``num_buckets``."""
-    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint"), F.lit(num_buckets))
 
+def numbered_keys(keys: DataFrame, key: str = "cache_key", digits: int = PREFIX_DIGITS) -> DataFrame:
+    """(``key``, ``number``): dense numbers from 0 in the order of the keys.
 
-def build_requests(misses: DataFrame, num_buckets: int, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Group texts into request batches: ``(bucket, batch, cache_keys, texts_json)``.
-
-    Batches are formed inside hash buckets of the key, so no task numbers the whole table.  Which texts share a request
-    depends on their keys and ``num_buckets`` alone; a bucket should hold some 10,000 texts.
+    Keys are counted by prefix (at most ``16 ** digits`` counts come to one task), running totals tell where a prefix begins, and
+    a key is ranked inside its prefix.
     """
-    return request_table(misses, request_bucket(num_buckets), batch_size)
+    prefixed = keys.select(key, F.substring(key, 1, digits).alias("_prefix"))
+    before = W.orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
+    begins = prefixed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    inside = F.row_number().over(W.partitionBy("_prefix").orderBy(key)) - 1
+    return prefixed.withColumn("_inside", inside).join(F.broadcast(begins), "_prefix").select(key, (F.col("_begin") + F.col("_inside")).alias("number"))
 
 
-def request_table(misses: DataFrame, bucket: Column, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Requests for a given bucket expression; a batch holds ``batch_size`` texts at most."""
-    numbered = misses.withColumn("bucket", bucket).withColumn(
-        "_rn", F.row_number().over(W.partitionBy("bucket").orderBy("cache_key")) - 1
-    )
-    item = F.struct((F.col("_rn") % batch_size).cast("int").alias("id"), F.col("cache_key"), F.col("report_text").alias("text"))
+def build_requests(misses: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """Group texts into requests of ``batch_size`` in the order of their keys: ``(batch, cache_keys, texts_json)``.
+
+    Keys are numbered without their texts, which are joined to the numbers last, so no task sorts texts.  The last request may be shorter.
+    """
+    numbered = misses.join(numbered_keys(misses.select("cache_key")), "cache_key")
+    item = F.struct((F.col("number") % batch_size).cast("int").alias("id"), F.col("cache_key"), F.col("report_text").alias("text"))
     grouped = (
-        numbered.withColumn("batch", F.floor(F.col("_rn") / batch_size))
-        .groupBy("bucket", "batch")
+        numbered.withColumn("batch", F.floor(F.col("number") / batch_size))
+        .groupBy("batch")
         .agg(F.sort_array(F.collect_list(item)).alias("items"))
     )
     body = F.to_json(F.transform("items", lambda i: F.struct(i["id"].alias("id"), i["text"].alias("text"))))
-    return grouped.select(
-        "bucket", "batch", F.transform("items", lambda i: i["cache_key"]).alias("cache_keys"), body.alias("texts_json")
-    )
+    return grouped.select("batch", F.transform("items", lambda i: i["cache_key"]).alias("cache_keys"), body.alias("texts_json"))
 
 
 def request_body(requests: DataFrame, instructions: str, schema_json: str, allowed_values: str) -> DataFrame:
@@ -97,14 +97,14 @@ def request_body(requests: DataFrame, instructions: str, schema_json: str, allow
 def unpack_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """``(cache_key, raw_json)`` per requested text, matched to its batch response by position.
 
-    ``responses`` holds ``(bucket, batch, raw_json)`` with a JSON array per batch.  A position
+    ``responses`` holds ``(batch, raw_json)`` with a JSON array per batch.  A position
     without a record (short, broken or absent response) gives a null ``raw_json``; the other
     records of the batch are kept.
     """
-    wanted = requests.select("bucket", "batch", F.posexplode("cache_keys").alias("pos", "cache_key"))
+    wanted = requests.select("batch", F.posexplode("cache_keys").alias("pos", "cache_key"))
     records = F.from_json("raw_json", "array<string>")
-    got = responses.select("bucket", "batch", F.posexplode(records).alias("pos", "raw_json"))
-    return wanted.join(got, ["bucket", "batch", "pos"], "left").select("cache_key", "raw_json")
+    got = responses.select("batch", F.posexplode(records).alias("pos", "raw_json"))
+    return wanted.join(got, ["batch", "pos"], "left").select("cache_key", "raw_json")
 
 
 def annotate(misses: DataFrame, annotator: Annotator) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardsift.operators.models import ModelConfig, coefficient_table, score_fits, fit_table
+from wardsift.operators.models import ModelConfig, coefficient_table
 from wardsift.operators.profile import with_text_metrics
 from wardsift.operators.validation import cross_fit, group_training_set, holdout_training_set
 from wardsift.plans.train import (
@@ -70,9 +70,8 @@ def logreg_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every labelled report scored by one L1 model fitted on the train side of a holdout split."""
     rows = training_rows(spark, sf)
     data = holdout_training_set(rows, SPEC)
-    fits = cross_fit(data, [ModelConfig(C=1.0, l1_ratio=1.0)])
-    scored = score_fits(rows.withColumn("split_id", F.lit(1)), fit_table(spark, fits), SPEC)
-    return scored.select("case_id", "label", F.round("score", 4).alias("score"))
+    model = cross_fit(data, [ModelConfig(C=1.0, l1_ratio=1.0)])[0, 1]
+    return rows.select("case_id", "label", F.round(model.probability(), 4).alias("score"))
 
 
 @query("logreg_final_model", sql_scores(SQL_WHOLE, ModelConfig(class_weight="balanced")))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,20 @@ def test_empty_table_nulls_and_repeated_rows(spark, docs):
         identify(spark.createDataFrame(rows, schema), train(spark.createDataFrame([], "lang string, text string")))
 
 
+def test_markup_is_stripped_in_linear_time(spark):
+    from wardsift.llm.op10_language import _evidence
+
+    openings = ["<!--", "<script", "<script>", "<html", "<html ", "<style x", "<", "<!-- -- ", "<html lang ", "<html lang= "]
+    rows = [(i, "u", o * (3_000_000 // len(o))) for i, o in enumerate(openings)]
+    start = time.time()
+    assert _evidence(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html").count() == len(rows)
+    seen = _evidence(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html").selectExpr("sum(length(text)) AS n", "count(declared) AS d").first()
+    assert seen.n < 100 and time.time() - start < 60
+    odd = [(1, "u", "a <b>c</b> <!-- d --> e <script>f</script> g <!-- open <p> h"), (2, "u", "a <script>never < closed"), (3, "u", "1 > 0 and 0 < 1")]
+    texts = {r.id: " ".join(bytes(r.text).decode().split()) for r in _evidence(spark.createDataFrame(odd, "page_id long, url string, html string"), "page_id", "url", "html").collect()}
+    assert texts == {1: "a c e g", 2: "a", 3: "1 > 0 and 0"}
+
+
 def test_query_reads_every_page_and_beats_text_alone(spark):
     import wardsift.llm.queries  # noqa: F401
     from checks.registry import QUERIES

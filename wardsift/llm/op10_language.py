@@ -21,8 +21,9 @@ MOST_LANGUAGES = 256
 #: More trigrams than this add no certainty: the mean over the whole text counts as so many.
 EVIDENCE = 100.0
 
-SKIPPED = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>"
-DECLARED = r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?\s*([a-z]{2,3})"""
+#: Markup.  What is never closed runs to the end of the page, so that no character is looked at again for every opening before it.
+SKIPPED = r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^>]*(?:>|\z)"
+DECLARED = r"""(?is)<html\b[^<>]*?\slang\s*=\s*["']?\s*([a-z]{2,3})"""
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 

@@ -117,8 +117,9 @@ def fit_logistic(
         tol=1e-9,
     )
     model = learner.fit(vectors)
-    passes = model.summary.totalIterations
-    if passes >= config.max_iter:
+    passes, losses = model.summary.totalIterations, model.summary.objectiveHistory
+    settled = len(losses) > 1 and abs(losses[-2] - losses[-1]) <= 1e-9 * max(abs(losses[-1]), 1e-300)
+    if passes >= config.max_iter and not settled:
         raise ValueError(f"the fit has not converged within {config.max_iter} iterations")
     weights = [float(v) for v in model.coefficients]
     intercept = weights[-1] if config.penalise_intercept else float(model.intercept)

@@ -4,8 +4,10 @@ import random
 import numpy as np
 import pytest
 
-from wardsift.llm.bwt_merge import Shard, intervals, merge, symbols
+from wardsift.llm import op4_suffixes
+from wardsift.llm.bwt_merge import Shard, intervals, merge, ordered, symbols
 from wardsift.llm.op4_suffixes import suffix_dedup, suffix_digests
+from wardsift.llm.text_arrays import byte_sums, span_hash, window_hash
 
 
 def shards_of(made, step):
@@ -104,3 +106,43 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     text = " ".join(map(str, range(80)))
     got = suffix_dedup(spark.createDataFrame([(None, text), (7, text), (7, text)], schema)).collect()
     assert sorted((r.doc_id or 0, r.n_removed, r.n_spans) for r in got) == [(0, len(text), 1), (7, 0, 0), (7, len(text), 1)]
+
+
+@pytest.mark.parametrize("limit", [1, 300, 1 << 40, 1 << 62])
+def test_keys_sort_with_their_places_as_argsort_does(limit):
+    rng = np.random.default_rng(limit % 97)
+    for n in (0, 1, 2, 4000):
+        keys = rng.integers(0, limit, n)
+        keys[: n // 2] = keys[n - n // 2 :]
+        got, order = ordered(keys, limit)
+        assert (order == np.argsort(keys, kind="stable")).all() and (got == np.sort(keys)).all()
+
+
+@pytest.mark.parametrize("far", [1, 1 << 50])
+def test_lowest_window_of_each_group(far):
+    rng = np.random.default_rng(3)
+    group, rank, start = rng.integers(0, 400, 3000) * far, rng.integers(0, 50, 3000), rng.integers(0, 130, 3000)
+    first = op4_suffixes._first_of_each(group, rank, start)
+    assert [x.tolist() for x in op4_suffixes._lowest(group, rank, start)] == [rank[first].tolist(), start[first].tolist()]
+    assert [len(x) for x in op4_suffixes._lowest(*(np.zeros(0, np.int64),) * 3)] == [0, 0]
+
+
+def test_buckets_sort_numbers_and_never_sort_windows_indirectly(monkeypatch):
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(b"ab", k=rng.randint(100, 199))) for _ in range(200)]
+    lengths = np.array([len(t) for t in texts])
+    longest, lexsort, argsort = [0], np.lexsort, np.argsort
+    seen = lambda n, small: longest.append(0 if small else n)
+    monkeypatch.setattr(np, "lexsort", lambda keys, *a: (seen(len(keys[0]), False), lexsort(keys, *a))[1])
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **b: (seen(len(x), x.dtype.itemsize <= 2), argsort(x, *a, **b))[1])
+    body = np.frombuffer(b"".join(texts), np.uint8)
+    later, = op4_suffixes.later_windows([body], [lengths], [np.arange(200, dtype=np.uint64)], np.array([0]), 100)
+    windows = [t[i : i + 100] for t in texts for i in range(len(t) - 99)]
+    assert later.sum() == len(windows) - len(set(windows))
+    assert max(longest) <= 200
+
+
+def test_digests_of_all_windows_are_those_of_spans():
+    data = np.frombuffer(bytes(random.Random(2).choices(range(256), k=500)), np.uint8)
+    sums, at = byte_sums(data), np.arange(len(data) - 23)
+    assert (window_hash(sums, 24) == span_hash(sums, at, at + 24)).all() and len(window_hash(byte_sums(data[:5]), 24)) == 0

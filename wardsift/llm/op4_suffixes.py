@@ -26,7 +26,7 @@ from wardsift.llm.bwt_merge import Shard, intervals, symbols
 from wardsift.llm.frames import Batches, mapped, record, written
 from wardsift.llm.op6_substrings import order_of
 from wardsift.llm.packed import REQUESTS, SUMMARY, answer, bucket_bits, chunks_of, from_planes, is_first, pack, planes, replies_of, requests, with_replies
-from wardsift.llm.text_arrays import byte_sums, flat, mix, row_of, span_hash
+from wardsift.llm.text_arrays import byte_sums, flat, mix, span_hash, window_hash
 
 GRAM = 24
 PLACE_BITS = 32
@@ -128,6 +128,18 @@ def _first_of_each(key: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.n
     return order[np.append(True, np.diff(key[order]) != 0)] if len(order) else order
 
 
+def _lowest(group: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest (rank, start) of each group; the three are sorted as one number where they fit into 63 bits."""
+    ranks, starts = (int(x.max(initial=0)).bit_length() for x in (rank, start))
+    if int(group.max(initial=0)).bit_length() + ranks + starts > 63:
+        first = _first_of_each(group, rank, start)
+        return rank[first], start[first]
+    both = np.sort((group << ranks | rank) << starts | start)
+    own = both >> ranks + starts
+    both = both[np.append(True, own[1:] != own[:-1])[: len(own)]]
+    return both >> starts & (1 << ranks) - 1, both & (1 << starts) - 1
+
+
 def _contexts(data: np.ndarray, offsets: np.ndarray, width: int):
     """Row, first and last window start, anchor digest and content digest of every context of a piece."""
     empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
@@ -135,24 +147,23 @@ def _contexts(data: np.ndarray, offsets: np.ndarray, width: int):
     if len(data) < width:
         return empty
     sums = byte_sums(data)
-    at = np.arange(len(data) - GRAM + 1)
-    digest = span_hash(sums, at, at + GRAM)
-    low = digest >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | at.astype(np.uint64)
+    digest = window_hash(sums, GRAM)
+    low = digest & ~np.uint64((1 << PLACE_BITS) - 1)
+    low |= np.arange(len(low), dtype=np.uint64)
     reach = 1
     while 2 * reach <= grams:
         low = np.minimum(low[: len(low) - reach], low[reach:])
         reach *= 2
     if reach < grams:
         low = np.minimum(low[: len(low) - (grams - reach)], low[grams - reach :])
-    anchor = (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-    row = row_of(offsets)
-    start = np.flatnonzero(row[: len(anchor)] == row[width - 1 :])
-    if not len(start):
-        return empty
-    head = np.append(True, (np.diff(anchor[start]) != 0) | (np.diff(row[start]) != 0))
-    first = start[head]
-    last = start[np.append(np.flatnonzero(head)[1:], len(start)) - 1]
-    return row[first], first, last, digest[anchor[first]], span_hash(sums, first, last + width)
+    sizes = np.diff(offsets)
+    inside = np.maximum(sizes - width + 1, 0)
+    starts = np.repeat(np.tile([True, False], len(sizes)), np.stack([inside, sizes - inside], axis=1).ravel())[: len(low)]
+    same = np.zeros(len(low) + 1, bool)  # a window and the one before it have one anchor; windows beside each other share a row
+    same[1:-1] = (low[1:] == low[:-1]) & starts[1:] & starts[:-1]
+    first, last = np.flatnonzero(starts & ~same[:-1]), np.flatnonzero(starts & ~same[1:])
+    anchor = (low[first] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    return np.searchsorted(offsets, first, "right") - 1, first, last, digest[anchor], span_hash(sums, first, last + width)
 
 
 def _bits(flags: np.ndarray) -> bytes:
@@ -202,8 +213,10 @@ def later_windows(bodies: list[np.ndarray], lengths: list[np.ndarray], orders: l
     context = np.concatenate(members)[base[shard] + string]
     window = length[context] - offset >= width
     context, offset, group = context[window], offset[window], group[window]
-    first = _first_of_each(group, rank[context], offset)
-    later[window_at[context[first]] + offset[first]] = False
+    by_rank = np.empty(len(rank), np.int64)
+    by_rank[rank] = np.arange(len(rank))
+    context, offset = _lowest(group, rank[context], offset)
+    later[window_at[by_rank[context]] + offset] = False
     return np.split(later, np.cumsum([int((n - width + 1).sum()) for n in lengths])[:-1])
 
 

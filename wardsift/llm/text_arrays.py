@@ -102,6 +102,13 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
+def window_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """``span_hash`` of all spans of ``width`` symbols, in order."""
+    hashes = sums[width:] - sums[: len(sums) - width]
+    hashes *= powers("down", _BASE_INVERSE, len(sums))[: len(hashes)]
+    return mix(hashes)
+
+
 def byte_sums(data: np.ndarray) -> np.ndarray:
     return prefix_sums(_BYTE_CODE[data])
 

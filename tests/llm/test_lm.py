@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardsift.llm import op5_lm, packed
+from wardsift.llm.frames import CLEANUP, written
 from wardsift.llm.op5_lm import interpolated_scores
 
 
@@ -90,3 +92,26 @@ def test_counts_beyond_32_bits_are_summed_whole():
     assert op5_lm._sum_group(group, facts, group).tolist() == [[6 * 10**9, 2**40 + 1], [2, 5 * 10**9], [6 * 10**9, 2**40 + 1]]
     sent = packed.from_planes(packed.planes(facts.T)).reshape(2, -1).T
     assert (sent == facts).all()
+
+
+@pytest.mark.parametrize("setting", [None, "false"])
+def test_written_steps_leave_no_shuffle_files(spark, setting):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    spark.conf.unset(CLEANUP) if setting is None else spark.conf.set(CLEANUP, setting)
+    try:
+        before = shuffles()
+        sums = written(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")))
+        assert spark.conf.get(CLEANUP, None) == setting
+        for _ in range(100):
+            if not shuffles() - before:
+                break
+            time.sleep(0.1)
+        assert not shuffles() - before
+        assert sums.agg(F.sum("s")).first()[0] == 4999 * 2500
+    finally:
+        spark.conf.unset(CLEANUP)

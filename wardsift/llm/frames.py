@@ -38,14 +38,15 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    before = spark.conf.get(CLEANUP, None)
-    if before is None:
-        return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEANUP, None)  # None unless somebody has set it, also where Spark knows it
     try:
         spark.conf.set(CLEANUP, "true")
         return df.select("*").checkpoint(eager=True)
     finally:
-        spark.conf.set(CLEANUP, before)
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def rows_where(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray], max_bytes: int = PIECE_BYTES) -> DataFrame:

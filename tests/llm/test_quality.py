@@ -1,7 +1,10 @@
 import random
 import re
 
+import duckdb
+
 from checks.compare import compare
+from checks.registry import ORACLES, QUERIES
 from wardsift.llm.op8_quality import quality_rules
 
 
@@ -74,3 +77,25 @@ def test_query_equals_sql_over_whole_table(spark):
     import wardsift.llm.queries  # noqa: F401
 
     assert compare(spark, "/root/testdata/sf0.001", "op8_quality")[0]
+
+
+def test_query_tells_documents_with_too_many_symbols(spark, tmp_path):
+    import wardsift.llm.queries  # noqa: F401
+
+    def text(n, symbols):
+        return " ".join([f"w{i}" for i in range(n - 1)] + ["#*$%&|<>"[symbols % 8] * symbols or "z"])
+
+    twice = " ".join(f"p{i}" for i in range(60))
+    texts = [text(60, 18), text(60, 19), text(200, 60), text(200, 61), text(20, 7), text(60, 0), "###", " ", None,
+             f"{twice} {text(180, 91)} {twice}", f"{twice} {text(180, 91)}"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[1]), (1, texts[1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_quality"](spark, str(tmp_path)).select("doc_id", "n_symbols", "base_failed", "kept", "symbols_failed").collect()
+    assert {r.doc_id for r in got if r.symbols_failed} == {None, 1, 3, 4, 6, 9, 10} and len(got) == len(rows)
+    assert {r.doc_id for r in got if r.kept} == {None, 0, 1, 2, 3, 5, 10}  # symbols do not decide it
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet') WHERE doc_id <> 1 AND doc_id IS NOT NULL")
+    want = con.execute(f"SELECT doc_id, n_symbols, base_failed, kept, symbols_failed FROM ({ORACLES['op8_quality']}) ORDER BY 1").fetchall()
+    con.close()
+    assert sorted(tuple(r) for r in got if r.doc_id not in (None, 1)) == want
